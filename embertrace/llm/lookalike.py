@@ -46,7 +46,11 @@ def build_table(spark: SparkSession, upto: int = 0x1FFFF) -> dict[str, dict[str,
     where: dict[str, tuple[str, str]] = {}
     for (c, script), skeleton in zip(letters, skeletons, strict=True):
         where[c] = (skeleton, unicodedata.category(c))
-        classes.setdefault(where[c], {}).setdefault(script, c)  # the lowest code point stands for its script
+        phonetic = 0x250 <= ord(c) <= 0x2FF or 0x1D00 <= ord(c) <= 0x1DBF  # no script is spelled in these
+        classes.setdefault(where[c], {}).setdefault("Phonetic" if phonetic else script, c)  # the lowest code point stands for its script
+    for k in classes.values():
+        if len(k) > 1:
+            k.pop("Phonetic", None)
     return {c: classes[k] for c, k in where.items() if len(classes[k]) > 1 or classes[k] != {next(iter(classes[k])): c}}
 
 

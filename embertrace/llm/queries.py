@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
+from embertrace.llm.overlap import cross_split_overlaps
 from embertrace.llm.quota import distinct_items, quota_plan, quota_sample, targets_from_counts
 from embertrace.llm.splits import assign_splits, component_pairs, components
 from embertrace.session import cut, table
@@ -13,6 +14,20 @@ from embertrace.session import cut, table
 SHARES = {"train": 0.7, "validation": 0.1, "test": 0.2}
 
 
+def p1_found(spark: SparkSession, root: str) -> DataFrame:
+    p = cross_split_overlaps(table(spark, root, "gold"), "gold_id", "text", "split")
+    return p.select(F.least("train_id", "eval_id").alias("gold_id_a"), F.greatest("train_id", "eval_id").alias("gold_id_b"))
+
+
+def p1_report(spark: SparkSession, root: str) -> DataFrame:
+    """By split and source of the held-out rows: rows, rows with a partner in train, their mean best coverage."""
+    g = table(spark, root, "gold").select("gold_id", "split", "source", "text")
+    best = cross_split_overlaps(g, "gold_id", "text", "split").groupBy("eval_id").agg(F.max("coverage").alias("coverage"))
+    rows = g.where("split <> 'train'").join(best, F.col("gold_id") == F.col("eval_id"), "left")
+    return rows.groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+
+
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     p = look_alike_pairs(table(spark, root, "enriched_gold_labeled"), "idx", "key")
     return p.select(F.col("a").alias("idx_a"), F.col("b").alias("idx_b"))
@@ -65,6 +80,7 @@ def p7_sample(spark: SparkSession, root: str) -> DataFrame:
 
 
 QUERIES = {
+    "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
     "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split,
     "p7_found": p7_found, "p7_report": p7_report, "p7_sample": p7_sample,

@@ -51,7 +51,7 @@ def components(df: DataFrame, node: str, entity: str, unknown: Sequence = (0,))
 
 
 def assign_splits(
-    rows: DataFrame, component: str, label: str, shares: dict[str, float], seed: int = 42, heavy_share: float = 0.002
+    rows: DataFrame, component: str, label: str, shares: dict[str, float], seed: int = 42, heavy_share: float = 0.0005
 ) -> DataFrame:
     """component, split: proportions ``shares`` of the rows, with about the same mix of ``label``.
 
