@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embertrace.llm.leaks import leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps
 from embertrace.llm.quota import distinct_items, quota_plan, quota_sample, targets_from_counts
@@ -79,7 +80,19 @@ def p7_sample(spark: SparkSession, root: str) -> DataFrame:
     return sample.select(F.col("category").alias("year"), F.col("item").alias("key"))
 
 
+def p9_found(spark: SparkSession, root: str) -> DataFrame:
+    return leaked_items(table(spark, root, "documents"), table(spark, root, "eval_items"))
+
+
+def p9_report(spark: SparkSession, root: str) -> DataFrame:
+    """By item: the documents into which it leaked."""
+    items = table(spark, root, "eval_items").select("item_id", "suite")
+    n = p9_found(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_documents"))
+    return items.join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
+
+
 QUERIES = {
+    "p9_found": p9_found, "p9_report": p9_report,
     "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
     "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split,
