@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 12
-RANK = 64
+RANK = 32
 COSINE = 0.1
 ITEM_BLOCK = 512
 ITEM_WEIGHT = 10.0
@@ -99,6 +99,14 @@ def window_sums(ids: np.ndarray, starts: np.ndarray, doc: np.ndarray, weights: n
     return out
 
 
+def _threes(ids: np.ndarray, n: int) -> np.ndarray:
+    """Codes of three successive words; -1 where a word is in no item."""
+    a = ids.astype(np.int64)
+    code = (a[:-2] * (n + 1) + a[1:-1]) * (n + 1) + a[2:]
+    code[(a[:-2] == n) | (a[1:-1] == n) | (a[2:] == n)] = -1
+    return code
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
     return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
@@ -119,40 +127,31 @@ def near(a: str, b: str) -> bool:
     return n - i - j <= (1 if n < 6 else 2)
 
 
-def longest_run(doc: list[str], item: list[str], seats: dict[str, list[int]], enough: int = BLOCK) -> int:
-    """Successive item words found in ``doc`` (it stops at ``enough``)."""
-    diagonals: dict[int, list[int]] = {}
-    for i, w in enumerate(doc):
-        for j in seats.get(w, ()):
-            diagonals.setdefault(i - j, []).append(i)
-    best = 0
-    for d, hits in diagonals.items():
-        if len(hits) < 3:
-            continue
-        done = -1
-        for i in hits:
-            if i <= done:
-                continue
-            x, y = i, i - d
-            while x > 0 and y > 0 and near(doc[x - 1], item[y - 1]):
-                x, y = x - 1, y - 1
-            first = y
-            while y < len(item) and x < len(doc):
-                if near(doc[x], item[y]):
-                    x, y = x + 1, y + 1
-                elif x + 1 < len(doc) and doc[x] + doc[x + 1] == item[y]:  # a word torn apart
-                    x, y = x + 2, y + 1
-                elif y + 1 < len(item) and doc[x] == item[y] + item[y + 1]:  # two words run together
-                    x, y = x + 1, y + 2
-                elif y + 3 <= len(item) and doc[x + 1 : x + 4] == item[y : y + 3] and not doc[x].isalpha():  # an inserted mark
-                    x += 1
-                else:
-                    break
-            done = max(i, x - 1)
-            best = max(best, y - first)
-            if best >= enough:
-                return best
-    return best
+def _extend(doc: list[str], item: list[str], x: int, y: int, step: int, enough: int) -> int:
+    """Item words matched in a row from (x, y) in one direction."""
+    n = 0
+
+    def at(ws: list[str], k: int) -> str:
+        return ws[k] if 0 <= k < len(ws) else ""
+
+    while n < enough and 0 <= y < len(item) and 0 <= x < len(doc):
+        if near(doc[x], item[y]):
+            x, y, n = x + step, y + step, n + 1
+        elif at(doc, x + step) and item[y] in (doc[x] + doc[x + step], doc[x + step] + doc[x]):  # a word torn apart
+            x, y, n = x + 2 * step, y + step, n + 1
+        elif at(item, y + step) and doc[x] in (item[y] + item[y + step], item[y + step] + item[y]):  # two words run together
+            x, y, n = x + step, y + 2 * step, n + 2
+        elif not doc[x].isalpha() and all(at(doc, x + k * step) == at(item, y + (k - 1) * step) != "" for k in (1, 2)):  # an inserted mark
+            x += step
+        else:
+            break
+    return n
+
+
+def run_length(doc: list[str], item: list[str], i: int, j: int, enough: int = BLOCK) -> int:
+    """Successive item words in ``doc`` around the match of doc[i] and item[j] (it may stop at ``enough``)."""
+    n = _extend(doc, item, i, j, 1, enough)
+    return n + _extend(doc, item, i - 1, j - 1, -1, enough - n) if n < enough else n
 
 
 def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> DataFrame:
@@ -214,42 +213,64 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> D
         basis[:n, : q.shape[1]] = q * idf
     centres = _unit(np.array([basis[ids].sum(axis=0) for ids in own]))
 
-    seats: list[dict[str, list[int]]] = []
-    pairs: dict[tuple[str, str], list[int]] = {}
-    for k, ws in enumerate(spelled):
-        s: dict[str, list[int]] = {}
-        for j, w in enumerate(ws):
-            s.setdefault(w, []).append(j)
-        seats.append(s)
-        for two in set(zip(ids := own[k].tolist(), ids[1:], strict=False)):
-            pairs.setdefault(two, []).append(k)
+    # Seeds are three successive words.  Two misspelt words destroy at most six of the ten in a run, so an item each of
+    # whose runs holds seven seeds that few items have can do without the phrases everybody uses; others take all.
+    own_threes = [_threes(ids, n) for ids in own]
+    holders: dict[int, int] = {}
+    for t in own_threes:
+        for c in set(t.tolist()):
+            holders[c] = holders.get(c, 0) + 1
+    most = max(2, len(items) // 20)
+    rows = []
+    for k, t in enumerate(own_threes):
+        hit = np.array([holders[c] <= most for c in t.tolist()], dtype=int)
+        width = max(1, least - 2)
+        runs = np.convolve(hit, np.ones(width, dtype=int), "valid") if len(hit) >= width else np.zeros(1, dtype=int)
+        rows += [(c, k, j) for j, (c, h) in enumerate(zip(t.tolist(), hit.tolist(), strict=True)) if h or runs.min() < 7]
+    rows.sort()
+    codes, first, many = np.unique(np.array([r[0] for r in rows], dtype=np.int64), return_index=True, return_counts=True)
+    seed_item, seed_at = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
+    span = max((len(ids) for ids in own), default=1) + 1
+    padded = np.full((len(own), span + 2 * BLOCK + 3), -2, dtype=np.int32)
+    for k, ids in enumerate(own):
+        padded[k, BLOCK : BLOCK + len(ids)] = ids
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        none: list[int] = []
         for f in frames:
             texts, names, out = f["text"].tolist(), f["doc_id"].tolist(), []
             for places, ids, starts, doc in _batches((k, vocabulary.encode(t)) for k, t in enumerate(texts)):
                 cos = _unit(window_sums(ids, starts, doc, basis)) @ centres.T
-                flat = ids.tolist()
-                after = np.append(starts[2:], [len(flat)] * 2)
-                ends = np.where(np.append(doc[1:] == doc[:-1], False), after, np.append(starts[1:], len(flat)))
+                near_items = cos >= COSINE
+                threes = _threes(ids, n)
+                at = np.minimum(np.searchsorted(codes, threes), max(len(codes) - 1, 0))
+                seen = np.flatnonzero(codes[at] == threes) if len(codes) and len(threes) else np.zeros(0, dtype=np.int64)
+                code = at[seen]
+                # every (place, item, item place) of the seeds seen; one per (document, item, diagonal), near in the latent space
+                place = np.repeat(seen, many[code])
+                entry = np.arange(len(place)) - np.repeat(np.cumsum(many[code]) - many[code], many[code]) + np.repeat(first[code], many[code])
+                item, j = seed_item[entry], seed_at[entry]
+                block = np.searchsorted(starts, place, side="right") - 1
+                close = near_items[block, item] | near_items[np.maximum(block - 1, 0), item]
+                place, item, j, block = place[close], item[close], j[close], block[close]
+                # a run shows at least five equal words along its diagonal within BLOCK words of a seed
+                around = np.arange(-BLOCK, BLOCK + 3)
+                x = place[:, None] + around
+                x[(x < 0) | (x >= len(ids))] = 0
+                alike = (ids[x] == padded[item[:, None], j[:, None] + around + BLOCK]).sum(axis=1) >= 5
+                place, item, j, block = place[alike], item[alike], j[alike], block[alike]
+                key = (item * (len(ids) + span) + place - j + span) * 64 + (place // 32) % 64
+                _, one = np.unique(key, return_index=True)
+                doc_first = starts[np.searchsorted(doc, np.arange(len(places)))] if len(doc) else np.zeros(0, dtype=np.int64)
                 done: set[tuple[int, int]] = set()
                 spelling: dict[int, list[str]] = {}
-                for b in np.flatnonzero((cos >= COSINE).any(axis=1)).tolist():
-                    lo, hi = int(starts[b]), int(ends[b])
-                    seeds: dict[int, int] = {}
-                    for two in zip(flat[lo : hi - 1], flat[lo + 1 : hi], strict=True):
-                        for k in pairs.get(two, none):
-                            seeds[k] = seeds.get(k, 0) + 1
-                    for k, hits in seeds.items():
-                        if hits < 4 or cos[b, k] < COSINE or (doc[b], k) in done:
-                            continue
-                        d = int(doc[b])
-                        if d not in spelling:
-                            spelling[d] = [w for w in map(word, texts[places[d]].lower().split()) if w]
-                        at = lo - int(starts[np.searchsorted(doc, d)])
-                        if longest_run(spelling[d][at : at + hi - lo], spelled[k], seats[k], least) >= least:
-                            done.add((d, k))
+                for p, k, y, b in zip(place[one].tolist(), item[one].tolist(), j[one].tolist(), block[one].tolist(), strict=True):
+                    d = int(doc[b])
+                    if (d, k) in done:
+                        continue
+                    if d not in spelling:
+                        spelling[d] = [w for w in map(word, texts[places[d]].lower().split()) if w]
+                    if run_length(spelling[d], spelled[k], p - int(doc_first[d]), y, least) >= least:
+                        done.add((d, k))
                 out += [(names[places[d]], item_ids[k]) for d, k in done]
             yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embertrace.llm.encoding import garbled
 from embertrace.llm.leaks import leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps
@@ -91,7 +92,17 @@ def p9_report(spark: SparkSession, root: str) -> DataFrame:
     return items.join(n, "item_id", "left").select("item_id", "suite", F.coalesce("n_documents", F.lit(0)).alias("n_documents"))
 
 
+def p10_found(spark: SparkSession, root: str) -> DataFrame:
+    return garbled(table(spark, root, "documents"), "doc_id", "text", "source").select(F.col("id").alias("doc_id"))
+
+
+def p10_repaired(spark: SparkSession, root: str) -> DataFrame:
+    g = garbled(table(spark, root, "documents"), "doc_id", "text", "source")
+    return g.select(F.col("id").alias("doc_id"), "chains", F.round("evidence", 3).alias("evidence"), "repaired")
+
+
 QUERIES = {
+    "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_report": p9_report,
     "p1_found": p1_found, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
