@@ -38,6 +38,7 @@ BINS = 1 << 18
 ROUNDS = 4
 ENOUGH = 5.0
 BLANKS = str.maketrans("\n\t\r", "   ")
+PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
 #: A no-break space after an ASCII character is a blank; after others it may be the second byte of a garbled letter.
 NBSP = re.compile(r"(?<=[\x00-\x7f])\xa0")
 TORN_CASE = re.compile(r"[a-zà-öø-ÿа-яё][A-ZÀ-ÖØ-ÞА-ЯЁ]")
@@ -160,7 +161,7 @@ def fit(docs: DataFrame) -> Model:
 
     def options(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
-            rows = [(t, k, c) for t in f["token"] for k, c in candidates(t)]
+            rows = [(t, k, c) for t in f["token"] if len(t.strip(PUNCTUATION)) > 1 for k, c in candidates(t)]
             yield pd.DataFrame(rows, columns=["token", "k", "original"])
 
     # where a restored form is itself written far more often, the first round takes the token for its garbled form
@@ -219,7 +220,7 @@ def judge(text: str, prior: np.ndarray, model: Model) -> tuple[list[str], str, f
     evidence = np.zeros(len(CHAINS))
     for t in set(tokens):
         own, opts = model.options(t)
-        if opts:
+        if opts and len(t.strip(PUNCTUATION)) > 1:  # a lone sign says nothing of its own
             best = max(s + math.log(prior[k]) for k, _, s in opts)
             lead = best - own - math.log(prior[-1])
             if lead > 0:
