@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from embertrace.llm.abuse import scored
 from embertrace.llm.encoding import garbled
 from embertrace.llm.leaks import leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
@@ -101,7 +102,25 @@ def p10_repaired(spark: SparkSession, root: str) -> DataFrame:
     return g.select(F.col("id").alias("doc_id"), "chains", F.round("evidence", 3).alias("evidence"), "repaired")
 
 
+def p6_scores(spark: SparkSession, root: str) -> DataFrame:
+    """Every row with its score and verdict."""
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "y_toxic")
+    return scored(e, "idx", "key", F.col("y_toxic") > 0).select(F.col("id").alias("idx"), F.round("score", 4).alias("score"), "abusive")
+
+
+def p6_found(spark: SparkSession, root: str) -> DataFrame:
+    return p6_scores(spark, root).where("abusive").select("idx")
+
+
+def p6_rates(spark: SparkSession, root: str) -> DataFrame:
+    """By source: rows, abusive rows and their rate."""
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "source")
+    return e.join(p6_scores(spark, root), "idx").groupBy("source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if("abusive").alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"))
+
+
 QUERIES = {
+    "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_report": p9_report,
     "p1_found": p1_found, "p1_report": p1_report,
