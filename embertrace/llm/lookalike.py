@@ -7,7 +7,8 @@ The table is built by rule on the driver (a few thousand letters whatever the in
 For each token the resolved script sets of its letters are intersected:
 
 * one script left: the token is written in it (a mixed-script spelling disappears);
-* several left: a whole-script confusable; it takes the script of the key's other, unambiguous tokens, else Latin;
+* several left: a whole-script confusable; scripts that would need letters outside their everyday alphabet drop out, then
+  it takes the script of the nearest unambiguous token, else Latin;
 * none left: an irreducibly mixed token; letters go to the script that covers most of them, the rest stay.
 
 Every decision depends on look classes only, so strings that look the same get the same form.
@@ -25,6 +26,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Hebrew", "Arabic", "Georgian", "Cherokee", "Coptic", "Lisu")
+EVERYDAY = {"Latin": (0x41, 0x24F), "Cyrillic": (0x410, 0x451), "Greek": (0x391, 0x3CE)}
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]+")
 FOLDED_TAGS = ("<wide>", "<narrow>", "<noBreak>")
 
@@ -90,7 +92,6 @@ def consistent_form(text: str | None, looks: dict[str, dict[str, str]]) -> tuple
         kinds.append("combining")
     tokens = [unicodedata.normalize("NFD", x) for x in folded.strip(" ").split(" ")]
     resolved: list[tuple[str, set[str] | None]] = []
-    votes: dict[str, int] = {}
     for tok in tokens:
         sets = [set(looks[c]) if c in looks else {_script(c)} for c in tok if c.isalpha()]
         if not sets:
@@ -99,22 +100,23 @@ def consistent_form(text: str | None, looks: dict[str, dict[str, str]]) -> tuple
         both = set.intersection(*sets)
         if len({_script(c) for c in tok if c.isalpha()}) > 1:
             kinds.append("mixed_script")
-        if len(both) == 1:
-            s = next(iter(both))
-            votes[s] = votes.get(s, 0) + len(sets)
-        elif not both:
+        if not both:
             count: dict[str, int] = {}
             for x in sets:
                 for s in x:
                     count[s] = count.get(s, 0) + 1
             both = {max(count, key=lambda s: (count[s], s == "Latin", s))}
+        elif len(both) > 1:
+            usual = {s for s in both if s in EVERYDAY and all(EVERYDAY[s][0] <= ord(looks[c][s] if c in looks else c) <= EVERYDAY[s][1] for c in tok if c.isalpha())}
+            both = usual or both
         resolved.append((tok, both))
     out = []
-    for tok, both in resolved:
+    sure = [(i, next(iter(both))) for i, (_, both) in enumerate(resolved) if both and len(both) == 1]
+    for i, (tok, both) in enumerate(resolved):
         if both is None:
             out.append(tok)
             continue
-        s = max(both, key=lambda s: (votes.get(s, 0), s == "Latin", s))
+        s = min(((abs(i - k), k, s) for k, s in sure if s in both), default=(0, 0, "Latin" if "Latin" in both else min(both)))[2] if len(both) > 1 else next(iter(both))
         if len(both) > 1 and any(_script(c) != s for c in tok if c.isalpha()):
             kinds.append("whole_script")
         spelled = []

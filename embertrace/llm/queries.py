@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from embertrace.llm.abuse import scored
 from embertrace.llm.encoding import garbled
+from embertrace.llm.language import identified, label_cases
 from embertrace.llm.leaks import leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps
+from embertrace.llm.packing import CAPACITY, packed
 from embertrace.llm.quota import distinct_items, quota_plan, quota_sample, targets_from_counts
 from embertrace.llm.splits import assign_splits, component_pairs, components
 from embertrace.session import cut, table
@@ -119,7 +121,33 @@ def p6_rates(spark: SparkSession, root: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if("abusive").alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"))
 
 
+def p8_containers(spark: SparkSession, root: str) -> DataFrame:
+    """Container of every document or piece, in tokens."""
+    return packed(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
+
+
+def p8_fill(spark: SparkSession, root: str) -> DataFrame:
+    """Containers, tokens and the mean fill."""
+    c = p8_containers(spark, root).where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("pieces"))
+    return c.agg(F.count(F.lit(1)).alias("n_containers"), F.sum("tokens").alias("tokens"), F.max("tokens").alias("most"),
+                 F.round(F.sum("tokens") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"))
+
+
+def p4_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Language and confidence of every key and of every segment of a mixed one."""
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "lang")
+    return identified(e, "idx", "key", "lang").select(
+        F.col("id").alias("idx"), "segment", "first_word", "n_words", "lang", F.round("confidence", 6).alias("confidence"))
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "lang")
+    return label_cases(identified(e, "idx", "key", "lang"), e, "idx", "lang").withColumnRenamed("id", "idx")
+
+
 QUERIES = {
+    "p4_found": p4_found, "p4_segments": p4_segments,
+    "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_report": p9_report,
