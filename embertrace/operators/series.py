@@ -17,8 +17,8 @@ def label_series(df: DataFrame, key: Column, name: str, match: str, predicted: s
     return df.withColumn(name, key).where(F.col(name).isNotNull()).groupBy(name).agg(
         F.count(F.lit(1)).alias("n_messages"), F.count_distinct(match).alias("n_matches"),
         *[F.round(share(F.col(predicted) == s), 6).alias(f"pct_{s}") for s in sentiments],
-        F.round(F.avg(score), 6).alias("mean_sentiment_score"), F.round(share(any_flag), 6).alias("pct_toxic_any"),
-        F.round(F.avg(zero(max_prob)), 6).alias("mean_toxicity_score"), *[F.round(F.avg(zero(f)), 6).alias(f"pct_{f}") for f in flags])
+        F.round(F.avg(score), 4).alias("mean_sentiment_score"), F.round(share(any_flag), 6).alias("pct_toxic_any"),
+        F.round(F.avg(zero(max_prob)), 4).alias("mean_toxicity_score"), *[F.round(F.avg(zero(f)), 6).alias(f"pct_{f}") for f in flags])
 
 
 def fill_gaps(series: DataFrame, month: str) -> DataFrame:
