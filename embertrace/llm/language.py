@@ -32,6 +32,7 @@ ROUNDS = 3
 PRIOR = 200.0
 UNKNOWN = 1e-6
 LONGEST = 48
+ROW_WORDS = 60  # a longer row teaches no more than so many words
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 APART = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")  # a word spelled letter by letter
 BREAK = re.compile(r"(^|[^\w\s'’])$|[.!?,;:|\-–—]$")
@@ -178,7 +179,7 @@ def fit(rows: list[tuple[str, str | None]], pieces: dict[str, float]) -> Unigram
                     if w:
                         if w not in seen:
                             seen[w] = np.zeros(k)
-                        seen[w][lang] += 1
+                        seen[w][lang] += min(1.0, ROW_WORDS / len(words))
         counts: dict[str, np.ndarray] = {}
         for w, n in seen.items():
             model.expect(w, n, counts)
