@@ -38,15 +38,13 @@ def krippendorff_alpha(v: DataFrame, item: list[str], mode: str = "reference") -
 
 def fleiss_kappa(v: DataFrame, item: list[str]) -> DataFrame:
     """One row: kappa over the items that all raters of the panel voted on."""
-    raters = v.agg(F.count_distinct("rater").alias("k"))
+    k = v.agg(F.count_distinct("rater")).first()[0]
     c = v.groupBy(*item, "value").agg(F.count(F.lit(1)).cast("double").alias("n"))
-    per = c.groupBy(*item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agree"))
-    full = per.join(F.broadcast(raters)).where("m = k AND k > 1")
-    share = c.join(full.select(*item, "m"), item).groupBy("value").agg(F.sum("n").alias("n"))
-    pe = share.agg(F.sum(F.col("n") ** 2).alias("sq"), F.sum("n").alias("t"))
+    full = c.groupBy(*item).agg(F.sum("n").alias("m"), F.sum(F.col("n") * (F.col("n") - 1)).alias("agree")).where((F.col("m") == k) & (F.col("m") > 1))
+    share = c.join(full.select(*item), item, "left_semi").groupBy("value").agg(F.sum("n").alias("n"))
+    pe = share.agg(F.sum(F.col("n") ** 2) / F.sum("n") ** 2).first()[0]
     pa = full.agg(F.count(F.lit(1)).alias("n_items"), F.avg(F.col("agree") / (F.col("m") * (F.col("m") - 1))).alias("pa"))
-    j = pa.join(pe).withColumn("pe", F.col("sq") / F.col("t") ** 2)
-    return j.select("n_items", ((F.col("pa") - F.col("pe")) / F.nullif(1 - F.col("pe"), F.lit(0.0))).alias("kappa"))
+    return pa.select("n_items", ((F.col("pa") - F.lit(pe)) / F.nullif(1 - F.lit(pe).cast("double"), F.lit(0.0))).alias("kappa"))
 
 
 def majority(v: DataFrame, item: list[str]) -> DataFrame:

@@ -37,13 +37,14 @@ def timelines(facts: DataFrame, periods: DataFrame, keys: Sequence[str], period_
     The array is bounded by the facts that apply at one moment plus those entering in one period.
     """
     f = facts.withColumn("_enters", F.greatest("_known", "_from")).where("_enters < _to")
-    first, last = _period(F.col("_enters"), period_days), _period(F.col("_to"), period_days)
-    p = periods.select(*[F.col(k).alias(f"_p_{k}") for k in keys], "_period")
-    cond = (F.col("_period") >= first) & (F.col("_period") <= last)
-    for k in keys:
-        cond &= F.col(k) == F.col(f"_p_{k}")
+    lo, hi = periods.agg(F.min("_period"), F.max("_period")).first()
+    if lo is None:
+        lo, hi = 0, -1
+    first, last = F.greatest(_period(F.col("_enters"), period_days), F.lit(lo)), F.least(_period(F.col("_to"), period_days), F.lit(hi))
+    spread = f.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
+    spread = spread.withColumn("_period", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
     start = F.date_add(F.expr(EPOCH), F.col("_period") * period_days).cast("timestamp_ntz")
-    joined = f.join(p, cond).withColumn("_in_snapshot", (F.col("_enters") <= start) & (F.col("_to") > start))
+    joined = spread.join(periods, [*keys, "_period"], "left_semi").withColumn("_in_snapshot", (F.col("_enters") <= start) & (F.col("_to") > start))
     return joined.where(F.col("_in_snapshot") | (F.col("_enters") > start)).groupBy(*keys, "_period").agg(
         F.collect_set(F.struct("_from", "_known", "_value", "_enters", "_to")).alias("_line"))
 

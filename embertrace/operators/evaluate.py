@@ -81,16 +81,15 @@ def multilabel_metrics(df: DataFrame, by: Sequence[str], key: str, label: str, y
 def score_curves(df: DataFrame, y: str, score: str) -> DataFrame:
     """One row: positives, negatives, ROC AUC (rank statistic) and average precision over distinct scores; null if a class is absent."""
     yy = F.coalesce(F.col(y).cast("int"), F.lit(0)) > 0
-    d = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy(F.col(score).cast("double").alias("s")).agg(
+    d = df.where(F.col(score).isNotNull() & ~F.isnan(F.col(score).cast("double"))).groupBy((-F.col(score).cast("double")).alias("s")).agg(
         F.count_if(yy).alias("pos"), F.count_if(~yy).alias("neg"))
-    r = running_before(d, "s", ["pos", "neg"])
-    n = r.groupBy().agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"))
-    x = r.join(F.broadcast(n))  # one row
-    above_pos, above_neg = F.col("np") - F.col("before_pos"), F.col("nn") - F.col("before_neg")  # with this score or more
-    return x.groupBy("np", "nn").agg(
-        F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("u"), F.sum(F.col("pos") * above_pos / F.nullif(above_pos + above_neg, F.lit(0))).alias("ap")).select(
-        F.col("np").alias("n_pos"), F.col("nn").alias("n_neg"), F.when((F.col("np") > 0) & (F.col("nn") > 0), F.col("u") / (F.col("np") * F.col("nn"))).alias("auc"),
-        F.when(F.col("np") > 0, F.col("ap") / F.col("np")).alias("average_precision"))
+    r = running_before(d, "s", ["pos", "neg"])  # before: with a higher score
+    above = F.col("before_pos") + F.col("pos")
+    x = r.agg(F.sum("pos").alias("np"), F.sum("neg").alias("nn"), F.sum(F.col("pos") * (F.col("before_neg") + F.col("neg") / 2)).alias("lost"),
+              F.sum(F.col("pos") * above / F.nullif(above + F.col("before_neg") + F.col("neg"), F.lit(0))).alias("ap"))
+    both = (F.col("np") > 0) & (F.col("nn") > 0)
+    return x.select(F.coalesce("np", F.lit(0)).alias("n_pos"), F.coalesce("nn", F.lit(0)).alias("n_neg"), F.when(both, 1 - F.col("lost") / (F.col("np") * F.col("nn"))).alias("auc"),
+                    F.when(F.col("np") > 0, F.col("ap") / F.col("np")).alias("average_precision"))
 
 
 def tune_threshold(df: DataFrame, by: Sequence[str], y: str, score: str, least_positives: int = 5) -> DataFrame:

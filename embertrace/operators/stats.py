@@ -104,10 +104,10 @@ def spearman(df: DataFrame, x: str, y: str, least: int = 30) -> DataFrame:
     c = cut(d.groupBy("x", "y").agg(F.count(F.lit(1)).cast("double").alias("w")))
     rank = lambda v: running_before(c.groupBy(v).agg(F.sum("w").alias("n")), v, ["n"]).select(v, (F.col("before_n") + (F.col("n") + 1) / 2).alias(f"r{v}"))
     j = c.join(rank("x"), "x").join(rank("y"), "y")
-    mean = j.agg(F.sum("w").alias("n"), (F.sum(F.col("w") * F.col("rx")) / F.sum("w")).alias("mx"), (F.sum(F.col("w") * F.col("ry")) / F.sum("w")).alias("my"))
-    s = j.join(F.broadcast(mean)).groupBy("n").agg(
-        F.sum(F.col("w") * (F.col("rx") - F.col("mx")) * (F.col("ry") - F.col("my"))).alias("sxy"), F.sum(F.col("w") * (F.col("rx") - F.col("mx")) ** 2).alias("sxx"),
-        F.sum(F.col("w") * (F.col("ry") - F.col("my")) ** 2).alias("syy"))
+    # the mean of mid-ranks is (n + 1) / 2 whatever the ties
+    m2 = F.col("n") * ((F.col("n") + 1) / 2) ** 2
+    s = j.agg(F.sum("w").alias("n"), F.sum(F.col("w") * F.col("rx") * F.col("ry")).alias("pxy"), F.sum(F.col("w") * F.col("rx") ** 2).alias("pxx"), F.sum(F.col("w") * F.col("ry") ** 2).alias("pyy"))
+    s = s.select("n", (F.col("pxy") - m2).alias("sxy"), (F.col("pxx") - m2).alias("sxx"), (F.col("pyy") - m2).alias("syy"))
     rho = F.when(F.col("n") >= least, F.col("sxy") / F.nullif(F.sqrt(F.col("sxx") * F.col("syy")), F.lit(0.0)))
     out = s.select(F.col("n").cast("long").alias("n"), rho.alias("rho"))
     t = F.col("rho") * F.sqrt((F.col("n") - 2) / F.greatest((1 - F.col("rho")) * (1 + F.col("rho")), F.lit(1e-300)))
@@ -121,10 +121,13 @@ def chi_square(df: DataFrame, a: str, b: str) -> DataFrame:
     """
     c = df.groupBy(F.col(a).alias("a"), F.col(b).alias("b")).agg(F.count(F.lit(1)).cast("double").alias("o")).where("a IS NOT NULL AND b IS NOT NULL")
     m = c.withColumns({"r": F.sum("o").over(Window.partitionBy("a")), "k": F.sum("o").over(Window.partitionBy("b"))})
-    ra = c.groupBy("a").agg(F.sum("o").alias("s")).agg(F.count(F.lit(1)).alias("rows"), F.sum(1 / F.col("s")).alias("ir"), F.sum("s").alias("n"))
-    cb = c.groupBy("b").agg(F.sum("o").alias("s")).agg(F.count(F.lit(1)).alias("cols"), F.sum(1 / F.col("s")).alias("ic"))
-    s = m.agg(F.sum(F.col("o") ** 2 / (F.col("r") * F.col("k"))).alias("q"), F.first("o").alias("o"), F.first("r").alias("r"), F.first("k").alias("k"))
-    x = s.join(F.broadcast(ra)).join(F.broadcast(cb)).where("rows > 1 AND cols > 1")  # one row each
+    one_a = F.row_number().over(Window.partitionBy("a").orderBy("b")) == 1
+    one_b = F.row_number().over(Window.partitionBy("b").orderBy("a")) == 1
+    m = m.withColumns({"one_a": one_a, "one_b": one_b})
+    x = m.agg(
+        F.sum("o").alias("n"), F.sum(F.col("o") ** 2 / (F.col("r") * F.col("k"))).alias("q"), F.max_by(F.struct("o", "r", "k"), F.struct("a", "b")).alias("c"),
+        F.count_if("one_a").alias("rows"), F.count_if("one_b").alias("cols"), F.sum(F.when(F.col("one_a"), 1 / F.col("r"))).alias("ir"), F.sum(F.when(F.col("one_b"), 1 / F.col("k"))).alias("ic"))
+    x = x.where("rows > 1 AND cols > 1").select("*", "c.o", "c.r", "c.k")
     n, e = F.col("n"), F.col("r") * F.col("k") / F.col("n")
     off = F.abs(F.col("o") - e)
     yates = (off - F.least(F.lit(0.5), off)) ** 2 * n * F.col("ir") * F.col("ic")
