@@ -20,7 +20,8 @@ def targets_from_counts(counts: DataFrame, category: str, weight: str, total) ->
     """category, target: ``total`` times the category's share; duplicate rows count once, null weights as 0."""
     c = counts.select(F.col(category).cast("long").alias("category"), F.col(weight).cast("double").alias("w")).distinct().where("category IS NOT NULL")
     c = c.groupBy("category").agg(F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
-    return c.crossJoin(c.agg(F.sum("w").alias("all_w"))).select("category", (F.lit(total) * F.col("w") / F.col("all_w")).alias("target"))
+    all_w = F.sum("w").over(Window.partitionBy(F.lit(1)))  # over the targets, a row a category
+    return c.select("category", (F.lit(total) * F.col("w") / all_w).alias("target"))
 
 
 def quota_plan(items: DataFrame, targets: DataFrame, minimum: int) -> tuple[DataFrame, DataFrame]:
