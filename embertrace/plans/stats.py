@@ -197,7 +197,7 @@ def nearest_month(spark: SparkSession, root: str) -> DataFrame:
     m = _month_counts(spark, root).withColumn("i", F.row_number().over(Window.orderBy("year_month")) - 1)
     months = F.array_sort(F.collect_list(F.struct("i", F.to_date(F.concat("year_month", F.lit("-01"))).alias("d"))))
     e = table(spark, root, "patch_map").select("patch", "date_start").distinct()
-    x = e.join(F.broadcast(m.agg(months.alias("ms"))))  # one row of at most a few hundred months
+    x = e.withColumn("ms", m.agg(months.alias("ms")).scalar())  # at most a few hundred months
     gap = F.transform("ms", lambda y: F.struct(F.abs(F.datediff(y["d"], F.col("date_start").cast("date"))).alias("gap"), y["i"].alias("i")))
     return x.select("patch", "date_start", F.array_min(gap)["i"].alias("i"))
 
