@@ -136,6 +136,31 @@ def krippendorff_alpha(spark: SparkSession, root: str) -> DataFrame:
         G.krippendorff_alpha(v, ["text"], "canonical").select("n_items", F.round("alpha", 6).alias("alpha"), F.lit("canonical").alias("mode")))
 
 
+def fleiss_kappa(spark: SparkSession, root: str) -> DataFrame:
+    """Kappa of messages that the same two annotators labelled, over a fixed panel."""
+    g = table(spark, root, "gold").select("text", "annotator_id", "tox_toxic").where("text <> '' AND annotator_id IN ('ann_1', 'ann_2')")
+    return _rounded(G.fleiss_kappa(G.votes(g, ["text"], "annotator_id", "tox_toxic"), ["text"]), "kappa")
+
+
+def capped_classes(spark: SparkSession, root: str) -> DataFrame:
+    """At most 60 rows of each class in seeded order (a balanced training sample)."""
+    g = table(spark, root, "gold").select("gold_id", C.clean_sentiment(F.col("sentiment")).alias("s")).where("s IS NOT NULL")
+    return N.ranked(g, ["s"], "gold_id", 42).where("_rank <= 60").drop("_rank")
+
+
+def row_parity(spark: SparkSession, root: str) -> DataFrame:
+    """Rows of a table and of its scored copy: scoring loses none."""
+    g = table(spark, root, "gold").select("gold_id")
+    return g.agg(F.count(F.lit(1)).alias("n_rows")).withColumn("n_scored", predicted(spark, root).select("gold_id").agg(F.count(F.lit(1)).alias("n")).scalar())
+
+
+def inner_by_id(spark: SparkSession, root: str) -> DataFrame:
+    """Labelled rows joined to their predictions by id: hits by label and prediction."""
+    e = table(spark, root, "enriched_gold_labeled")
+    j = e.select("idx", "y_toxic").where("y_toxic IS NOT NULL").join(e.select("idx", "detox_pred_toxic"), "idx")
+    return j.groupBy("y_toxic", "detox_pred_toxic").agg(F.count(F.lit(1)).alias("n"))
+
+
 def majority_vote(spark: SparkSession, root: str) -> DataFrame:
     g = table(spark, root, "gold").select("text", "annotator_id", C.clean_sentiment(F.col("sentiment")).alias("s")).where("text <> ''")
     return G.majority(G.votes(g, ["text"], "annotator_id", "s"), ["text"])
@@ -201,7 +226,7 @@ def gold_pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     confusion, sentiment_metrics, class_scores, label_metrics, multilabel_metrics, average_precision, threshold_tune, model_compare, jargon_error, blind_spot_recall, error_samples, label_error_samples,
-    bootstrap_ci, cohen_kappa, krippendorff_alpha, majority_vote, consolidate, stratified_allocation, stratified_sample, train_test_split, validation_counts, quota_sample, oversample_counts,
+    bootstrap_ci, cohen_kappa, fleiss_kappa, capped_classes, row_parity, inner_by_id, krippendorff_alpha, majority_vote, consolidate, stratified_allocation, stratified_sample, train_test_split, validation_counts, quota_sample, oversample_counts,
     class_weights, positive_weights, candidate_pool, gold_pipeline)}
 
 _MM = """, mm AS (SELECT sc.model, sum(support) AS n, sum(h) AS c, sum(t * q) AS tq, sum(t * t) AS tt, sum(q * q) AS qq, avg(f1) AS macro_f1, avg(prec) AS macro_precision, avg(rec) AS macro_recall,
@@ -243,6 +268,12 @@ SELECT a, b, n::BIGINT AS n, round((po - pe) / nullif(1 - pe, 0), 6) AS kappa FR
     "krippendorff_alpha": f"WITH {_VOTES.format('tox_toxic')}, i AS (SELECT text, count(*)::DOUBLE AS m, sum(value)::DOUBLE AS n1 FROM v GROUP BY text HAVING count(*) > 1), " + ", ".join(
         f"c{o} AS (SELECT count(*) AS n_items, sum((m - n1) * n1 / (m - 1)) AS c01, sum((m - n1) * (m - n1 - {o}) / (m - 1)) AS c00, sum(n1 * (n1 - {o}) / (m - 1)) AS c11 FROM i), d{o} AS (SELECT *, c00 + c11 + 2 * c01 AS n FROM c{o})" for o in (0, 1))
     + " " + " UNION ALL ".join(f"SELECT n_items, round(1 - (2 * c01 / n) / (2 * ((c00 + c01) / n) * ((c11 + c01) / n) * n / (n - 1)), 6) AS alpha, '{m}' AS mode FROM d{o}" for o, m in ((0, "reference"), (1, "canonical"))),
+    "fleiss_kappa": """WITH v AS (SELECT text, annotator_id AS rater, min(tox_toxic) AS value FROM gold WHERE text <> '' AND annotator_id IN ('ann_1', 'ann_2') AND tox_toxic IS NOT NULL GROUP BY ALL),
+i AS (SELECT text, sum(value)::DOUBLE AS n1 FROM v GROUP BY text HAVING count(*) = 2), s AS (SELECT count(*) AS n_items, avg((n1 <> 1)::INT) AS pa, sum(n1) / (2 * count(*)) AS p1 FROM i)
+SELECT n_items, round((pa - (p1 * p1 + (1 - p1) * (1 - p1))) / nullif(1 - (p1 * p1 + (1 - p1) * (1 - p1)), 0), 6) AS kappa FROM s""",
+    "capped_classes": "SELECT gold_id, lower(trim(sentiment)) AS s FROM gold WHERE sentiment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(sentiment)) ORDER BY md5('42:' || gold_id), gold_id) <= 60",
+    "row_parity": "SELECT count(*) AS n_rows, count(*) AS n_scored FROM gold",
+    "inner_by_id": "SELECT y_toxic, detox_pred_toxic, count(*) AS n FROM enriched_gold_labeled WHERE y_toxic IS NOT NULL GROUP BY ALL",
     "majority_vote": f"WITH v AS ({_SV}), {_MAJ} SELECT text, consensus, {_CONF} AS confidence, n_votes::BIGINT AS n_votes FROM mj",
     "consolidate": f"""WITH v AS ({_SV}), {_MAJ}, w AS (SELECT text, annotator_id AS rater, min(tox_toxic) AS value FROM gold WHERE text <> '' AND annotator_id IS NOT NULL AND tox_toxic IS NOT NULL GROUP BY ALL),
 t AS (SELECT text, value AS toxic FROM (SELECT text, value, count(*) AS c, min(rater) AS first FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY text ORDER BY c DESC, first, value) = 1)
