@@ -181,3 +181,25 @@ def lexicon_scorer():
         return out
 
     return score
+
+
+def propose_indonesian(c: Column) -> Column:
+    """(label, confidence, reason) for Indonesian messages: blocked words, markers of frustration, questions, else a guess."""
+    toks = T.alpha_tokens(F.coalesce(c, F.lit("")))
+    has = lambda *ws: F.exists(toks, lambda t: t.isin(*ws))
+    say = lambda a, b, r: F.struct(F.lit(a).alias("label"), F.lit(b).alias("confidence"), F.lit(r).alias("reason"))
+    return (
+        F.when(F.arrays_overlap(toks, F.array(*[F.lit(b) for b in T.BLOCKERS])), say("negative", "high", "blocked word"))
+        .when(has("kenapa", "malah"), say("negative", "medium", "complaint")).when(has("bisa", "ambil", "jaga"), say("neutral", "medium", "plan"))
+        .when(F.size(toks) <= 1, say("neutral", "low", "one word")).otherwise(say("neutral", "ASK", "unclear"))
+    )
+
+
+def apply_proposals(df: DataFrame, text: str, proposal: str, corrections: DataFrame) -> DataFrame:
+    """Column ``label``: a correction of the exact text (columns text, corrected) decides where asked for; high confidence stands
+    unless corrected; medium stands as proposed; ASK without a correction is neutral; low stays unlabelled."""
+    one = corrections.groupBy(F.col("text").alias("_t")).agg(F.min("corrected").alias("_c"))
+    j = df.join(one, F.col(text) == F.col("_t"), "left")
+    conf, own = F.col(f"{proposal}.confidence"), F.col(f"{proposal}.label")
+    label = F.when(conf == "ASK", F.coalesce("_c", F.lit("neutral"))).when(conf == "high", F.coalesce("_c", own)).when(conf == "medium", own)
+    return j.withColumn("label", label).drop("_t", "_c")

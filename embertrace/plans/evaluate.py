@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from embertrace.functions import context as C
 from embertrace.functions import text as T
@@ -11,9 +12,9 @@ from embertrace.operators import agreement as G
 from embertrace.operators import evaluate as E
 from embertrace.operators import joins as J
 from embertrace.operators import sampling as N
-from embertrace.operators.rules import chat_rules
+from embertrace.operators.rules import STRONG_ID, WEAK_ID, apply_proposals, chat_rules, is_indonesian, propose_indonesian
 from embertrace.plans.context import LABELS, PREDICTIONS_SQL, predictions
-from embertrace.plans.text import _rules_sql
+from embertrace.plans.text import _S, _alpha, _list, _q, _rules_sql, _strip
 from embertrace.session import table
 
 KEY = list(J.MESSAGE_KEY)
@@ -161,6 +162,36 @@ def inner_by_id(spark: SparkSession, root: str) -> DataFrame:
     return j.groupBy("y_toxic", "detox_pred_toxic").agg(F.count(F.lit(1)).alias("n"))
 
 
+def gold_loader(spark: SparkSession, root: str) -> DataFrame:
+    """Training rows: prepared text, label id; without rows that lack either."""
+    ids = {x: i for i, x in enumerate(LABELS)}
+    g = table(spark, root, "gold").select("gold_id", F.coalesce("text", F.lit("")).alias("text"), C.clean_sentiment(F.col("sentiment")).alias("s"))
+    g = g.select("gold_id", T.norm_full(F.col("text")).alias("text"), F.try_element_at(F.create_map(*[F.lit(x) for kv in ids.items() for x in kv]), "s").alias("label"))
+    return g.where("text <> '' AND label IS NOT NULL")
+
+
+def augmented_training(spark: SparkSession, root: str) -> DataFrame:
+    """External labelled rows together with in-domain positives, by origin and label."""
+    ext = table(spark, root, "enriched_gold_labeled").where("y_toxic IS NOT NULL AND key <> ''").select(F.lit("external").alias("origin"), F.col("key").alias("text"), F.col("y_toxic").alias("y"))
+    own = table(spark, root, "gold").where("split = 'train' AND text <> '' AND tox_toxic > 0").select(F.lit("own").alias("origin"), "text", F.col("tox_toxic").alias("y"))
+    return ext.unionByName(own).groupBy("origin", "y").agg(F.count(F.lit(1)).alias("n"))
+
+
+def prefix_split(spark: SparkSession, root: str) -> DataFrame:
+    """The first 5 % in seeded order become validation rows."""
+    g = N.ranked(table(spark, root, "gold").select("gold_id", F.lit(1).alias("all")), ["all"], "gold_id", 7)
+    n = F.count(F.lit(1)).over(Window.partitionBy("all"))
+    return g.withColumn("split", F.when(F.col("_rank") <= F.floor(n * 0.05), "validation").otherwise("train")).groupBy("split").agg(F.count(F.lit(1)).alias("n"), F.min("gold_id").alias("least"))
+
+
+def proposals_applied(spark: SparkSession, root: str) -> DataFrame:
+    """Indonesian messages with proposed and corrected labels, counted."""
+    e = table(spark, root, "enriched_gold_labeled").select("key").where(is_indonesian(F.col("key")))
+    fixes = table(spark, root, "gold").where("text <> '' AND sentiment IS NOT NULL").select("text", C.clean_sentiment(F.col("sentiment")).alias("corrected"))
+    d = apply_proposals(e.withColumn("x", propose_indonesian(F.col("key"))), "key", "x", fixes)
+    return d.groupBy(F.col("x.reason").alias("reason"), "label").agg(F.count(F.lit(1)).alias("n"))
+
+
 def majority_vote(spark: SparkSession, root: str) -> DataFrame:
     g = table(spark, root, "gold").select("text", "annotator_id", C.clean_sentiment(F.col("sentiment")).alias("s")).where("text <> ''")
     return G.majority(G.votes(g, ["text"], "annotator_id", "s"), ["text"])
@@ -226,7 +257,7 @@ def gold_pipeline(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     confusion, sentiment_metrics, class_scores, label_metrics, multilabel_metrics, average_precision, threshold_tune, model_compare, jargon_error, blind_spot_recall, error_samples, label_error_samples,
-    bootstrap_ci, cohen_kappa, fleiss_kappa, capped_classes, row_parity, inner_by_id, krippendorff_alpha, majority_vote, consolidate, stratified_allocation, stratified_sample, train_test_split, validation_counts, quota_sample, oversample_counts,
+    bootstrap_ci, cohen_kappa, fleiss_kappa, capped_classes, row_parity, inner_by_id, gold_loader, augmented_training, prefix_split, proposals_applied, krippendorff_alpha, majority_vote, consolidate, stratified_allocation, stratified_sample, train_test_split, validation_counts, quota_sample, oversample_counts,
     class_weights, positive_weights, candidate_pool, gold_pipeline)}
 
 _MM = """, mm AS (SELECT sc.model, sum(support) AS n, sum(h) AS c, sum(t * q) AS tq, sum(t * t) AS tt, sum(q * q) AS qq, avg(f1) AS macro_f1, avg(prec) AS macro_precision, avg(rec) AS macro_recall,
@@ -274,6 +305,18 @@ SELECT n_items, round((pa - (p1 * p1 + (1 - p1) * (1 - p1))) / nullif(1 - (p1 *
     "capped_classes": "SELECT gold_id, lower(trim(sentiment)) AS s FROM gold WHERE sentiment IS NOT NULL QUALIFY row_number() OVER (PARTITION BY lower(trim(sentiment)) ORDER BY md5('42:' || gold_id), gold_id) <= 60",
     "row_parity": "SELECT count(*) AS n_rows, count(*) AS n_scored FROM gold",
     "inner_by_id": "SELECT y_toxic, detox_pred_toxic, count(*) AS n FROM enriched_gold_labeled WHERE y_toxic IS NOT NULL GROUP BY ALL",
+    "gold_loader": f"""SELECT gold_id, t AS text, label FROM (SELECT gold_id, regexp_replace({_strip("lower(coalesce(text, ''))")}, {_q(_S + '+')}, ' ', 'g') AS t,
+  CASE lower(trim(sentiment)) WHEN 'negative' THEN 0 WHEN 'neutral' THEN 1 WHEN 'positive' THEN 2 END AS label FROM gold) WHERE t <> '' AND label IS NOT NULL""",
+    "augmented_training": """SELECT origin, y, count(*) AS n FROM (SELECT 'external' AS origin, y_toxic AS y FROM enriched_gold_labeled WHERE y_toxic IS NOT NULL AND key <> ''
+  UNION ALL SELECT 'own', tox_toxic FROM gold WHERE split = 'train' AND text <> '' AND tox_toxic > 0) GROUP BY ALL""",
+    "prefix_split": """SELECT CASE WHEN k <= floor(t * 0.05) THEN 'validation' ELSE 'train' END AS split, count(*) AS n, min(gold_id) AS least FROM (
+  SELECT gold_id, row_number() OVER (ORDER BY md5('7:' || gold_id), gold_id) AS k, count(*) OVER () AS t FROM gold) GROUP BY 1""",
+    "proposals_applied": f"""WITH t AS (SELECT key, {_alpha("coalesce(key, '')")} AS toks FROM enriched_gold_labeled),
+i AS (SELECT * FROM t WHERE list_has_any(toks, {_list(STRONG_ID)}) OR (len(toks) >= 2 AND len(list_filter(toks, lambda t: list_contains({_list(STRONG_ID + WEAK_ID)}, t))) / len(toks) >= 0.3)),
+p AS (SELECT key, CASE WHEN list_has_any(toks, {_list(T.BLOCKERS)}) THEN 'blocked word' WHEN list_has_any(toks, ['kenapa', 'malah']) THEN 'complaint' WHEN list_has_any(toks, ['bisa', 'ambil', 'jaga']) THEN 'plan'
+  WHEN len(toks) <= 1 THEN 'one word' ELSE 'unclear' END AS reason FROM i), f AS (SELECT text, min(lower(trim(sentiment))) AS c FROM gold WHERE text <> '' AND sentiment IS NOT NULL GROUP BY 1)
+SELECT reason, CASE reason WHEN 'blocked word' THEN coalesce(c, 'negative') WHEN 'complaint' THEN 'negative' WHEN 'plan' THEN 'neutral' WHEN 'unclear' THEN coalesce(c, 'neutral') END AS label, count(*) AS n
+FROM p LEFT JOIN f ON f.text = p.key GROUP BY ALL""",
     "majority_vote": f"WITH v AS ({_SV}), {_MAJ} SELECT text, consensus, {_CONF} AS confidence, n_votes::BIGINT AS n_votes FROM mj",
     "consolidate": f"""WITH v AS ({_SV}), {_MAJ}, w AS (SELECT text, annotator_id AS rater, min(tox_toxic) AS value FROM gold WHERE text <> '' AND annotator_id IS NOT NULL AND tox_toxic IS NOT NULL GROUP BY ALL),
 t AS (SELECT text, value AS toxic FROM (SELECT text, value, count(*) AS c, min(rater) AS first FROM w GROUP BY ALL) QUALIFY row_number() OVER (PARTITION BY text ORDER BY c DESC, first, value) = 1)
