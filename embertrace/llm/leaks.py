@@ -48,6 +48,20 @@ class Vocabulary:
         self.ids = {w: i for i, w in enumerate(words)}
         self.n = len(words)
         self.seen: dict[str, int] = {}
+        self.spelt: dict[str, str] = {}
+
+    def spell(self, text: str) -> list[str]:
+        """The words of the text."""
+        spelt, raw = self.spelt, text.lower().split()
+        try:
+            return [w for w in [spelt[t] for t in raw] if w]
+        except KeyError:
+            if len(spelt) > self.LIMIT:
+                spelt.clear()
+            for t in raw:
+                if t not in spelt:
+                    spelt[t] = word(t)
+            return [w for w in [spelt[t] for t in raw] if w]
 
     def encode(self, text: str) -> np.ndarray:
         seen, raw = self.seen, text.lower().split()
@@ -268,7 +282,7 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> D
                     if (d, k) in done:
                         continue
                     if d not in spelling:
-                        spelling[d] = [w for w in map(word, texts[places[d]].lower().split()) if w]
+                        spelling[d] = vocabulary.spell(texts[places[d]])
                     if run_length(spelling[d], spelled[k], p - int(doc_first[d]), y, least) >= least:
                         done.add((d, k))
                 out += [(names[places[d]], item_ids[k]) for d, k in done]
