@@ -214,20 +214,35 @@ def fit(docs: DataFrame) -> Model:
     return model
 
 
-def judge(text: str, prior: np.ndarray, model: Model) -> tuple[list[str], str, float] | None:
-    """(chains, repaired text, evidence), or None for a sound record."""
-    tokens = rare_tokens(text)
-    evidence = np.zeros(len(CHAINS))
-    for t in set(tokens):
-        own, opts = model.options(t)
-        if opts and len(t.strip(PUNCTUATION)) > 1:  # a lone sign says nothing of its own
-            best = max(s + math.log(prior[k]) for k, _, s in opts)
-            lead = best - own - math.log(prior[-1])
-            if lead > 0:
-                for k, _, s in opts:
-                    if s + math.log(prior[k]) >= best - 1e-9:
-                        evidence[k] += lead
+def leads(token: str, prior: np.ndarray, model: Model) -> tuple[float, tuple[int, ...]]:
+    """(log odds of the best chain against identity, the chains that give that best original); 0 without evidence."""
+    own, opts = model.options(token)
+    if not opts or len(token.strip(PUNCTUATION)) <= 1:  # a lone sign says nothing of its own
+        return 0.0, ()
+    scores = [s + math.log(prior[k]) for k, _, s in opts]
+    best = max(scores)
+    lead = best - own - math.log(prior[-1])
+    return (lead, tuple(k for (k, _, _), s in zip(opts, scores, strict=True) if s >= best - 1e-9)) if lead > 0 else (0.0, ())
+
+
+def judge(text: str, prior: np.ndarray, model: Model, memory: dict[str, tuple[float, tuple[int, ...]]]) -> tuple[list[str], str, float] | None:
+    """(chains, repaired text, evidence), or None for a sound record.  memory: leads of the source's tokens."""
+    tokens = set(rare_tokens(text))
+    evidence = None
+    for t in tokens:
+        got = memory.get(t)
+        if got is None:
+            if len(memory) > 100_000:
+                memory.clear()
+            got = memory[t] = leads(t, prior, model)
+        if got[1]:
+            if evidence is None:
+                evidence = np.zeros(len(CHAINS))
+            evidence[list(got[1])] += got[0]
     lost = "�" in text
+    if evidence is None and not lost:
+        return None
+    evidence = np.zeros(len(CHAINS)) if evidence is None else evidence
     active = np.flatnonzero(evidence >= ENOUGH)
     if not len(active) and not lost:
         return None
@@ -238,7 +253,7 @@ def judge(text: str, prior: np.ndarray, model: Model) -> tuple[list[str], str, f
     local[active] = np.maximum(local[active], 0.5 / len(active))
     local /= local.sum()
     fixed: dict[str, str] = {}
-    for t in set(tokens):
+    for t in tokens:
         own, opts = model.posterior(t, local)
         best = max(opts, key=lambda x: x[2], default=None)
         if best and best[2] > own:
@@ -271,10 +286,13 @@ def garbled(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
     kind = docs.schema[id_col].dataType.simpleString()
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        memories: dict[str, dict] = {}
         for f in frames:
+            if len(memories) > 64:
+                memories.clear()
             rows = []
             for i, t, s in zip(f["id"], f["text"], f["source"], strict=True):
-                r = judge(t, model.prior.get(s, model.base), model)
+                r = judge(t, model.prior.get(s, model.base), model, memories.setdefault(s, {}))
                 if r:
                     rows.append((i, ",".join(r[0]), r[2], r[1]))
             yield pd.DataFrame(rows, columns=["id", "chains", "evidence", "repaired"])
