@@ -1,7 +1,8 @@
 """Abusive, hateful or sexual content: class-conditional Kneser-Ney character models.
 
 Two interpolated Kneser-Ney models, of abusive and of ordinary rows, share their lowest orders, so an expression that
-neither class has seen says nothing.  A row's score is the best length-normalised log-likelihood ratio of any stretch
+neither class has seen says nothing.  The models are taught by a bounded sample of labelled rows; the ordinary one also by
+the n-gram counts of all unlabelled texts that aren't found abusive, gathered by a distributed aggregation.  A row's score is the best length-normalised log-likelihood ratio of any stretch
 of its words: a short insult inside a long message counts as much as one alone.  Abusive training rows hold ordinary
 words too; after a first fit, only their best stretches train the abusive class.
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from embertrace.llm.lookalike import build_table, consistent_form
+from embertrace.session import cut
 
 ORDER = 6
 SHARED = 2  # orders up to this are pooled
@@ -30,7 +32,7 @@ LEAN = 3.0  # ordinary counts that weigh on a context of the abusive class
 MOST_WORDS = 12
 SHORTEST = 4.0  # characters added to a stretch's length before normalising
 SAMPLE_ROWS = 8_000
-UNLABELLED_ROWS = 12_000
+BIN_BITS = 24  # n-grams are counted in so many hash bins an order, so a model's size has a bound
 #: Signs that stand for letters inside a word (fixed values).
 SIGNS = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "|": "i"})
 LETTERS = r"[^\W\d_]"
@@ -63,14 +65,14 @@ def plain_form(text: str, looks: dict) -> str:
 
 
 def _hashes(codes: np.ndarray, ok: np.ndarray, n: int) -> np.ndarray:
-    """Hash of the n characters up to each place; -1 where they cross the start of a text (``ok``: place in text)."""
+    """Hash bin of the n characters up to each place; -1 where they cross the start of a text (``ok``: place in text)."""
     h = np.zeros(len(codes), dtype=np.uint64)
     for j in range(n - 1, -1, -1):
         part = np.zeros(len(codes), dtype=np.uint64)
         part[j:] = codes[: max(0, len(codes) - j)]
         h = (h ^ part) * np.uint64(0x9E3779B97F4A7C15)
         h ^= h >> np.uint64(29)
-    h = (h >> np.uint64(1)).astype(np.int64)
+    h = (h >> np.uint64(64 - BIN_BITS)).astype(np.int64)
     h[ok < n - 1] = -1
     return h
 
@@ -96,36 +98,71 @@ class Table:
         return np.where((self.keys[at] == keys)[:, None], self.values[at], 0)
 
 
+#: By order: n-grams, their suffixes and contexts (both of the order below), counts and starts of a text by class.
+Levels = dict[int, tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+CLASSES = 3  # ordinary by label, abusive, ordinary without a label
+
+
+def gram_levels(texts: list[str], classes: list[int]) -> Levels:
+    """The n-grams of the texts."""
+    codes, place, _ = _codes(texts)
+    of = np.repeat(np.array(classes, dtype=np.int64), [len(t) for t in texts])
+    out, below = {}, np.zeros(len(codes), dtype=np.int64)
+    for n in range(1, ORDER + 1):
+        h = _hashes(codes, place, n)
+        context = np.zeros(len(codes), dtype=np.int64)
+        if n > 1:
+            context[1:] = below[:-1]
+        known = h >= 0
+        key, at, inv = np.unique(h[known], return_index=True, return_inverse=True)
+        y, start = of[known], place[known] == n - 1
+        counts = np.stack([np.bincount(inv, weights=y == k, minlength=len(key)) for k in range(CLASSES)], axis=1)
+        starts = np.stack([np.bincount(inv, weights=start & (y == k), minlength=len(key)) for k in range(CLASSES)], axis=1)
+        out[n] = key, below[known][at], context[known][at], counts, starts
+        below = h
+    return out
+
+
+def joined(a: Levels, b: Levels) -> Levels:
+    """The sums of two tables of n-grams."""
+    out = {}
+    for n in range(1, ORDER + 1):
+        key, at, inv = np.unique(np.concatenate([a[n][0], b[n][0]]), return_index=True, return_inverse=True)
+        suffix, context = (np.concatenate([a[n][k], b[n][k]])[at] for k in (1, 2))
+        sums = []
+        for k in (3, 4):
+            total = np.zeros((len(key), CLASSES))
+            total[inv[: len(a[n][0])]] += a[n][k]
+            total[inv[len(a[n][0]) :]] += b[n][k]
+            sums.append(total)
+        out[n] = key, suffix, context, *sums
+    return out
+
+
 class Contrast:
     """Two Kneser-Ney models over characters; column 0 is ordinary, 1 abusive."""
 
-    def __init__(self, texts: list[str], labels: list[int], noise: float = 0.0):
-        codes, place, _ = _codes(texts)
-        of = np.repeat(np.array(labels, dtype=np.int64), [len(t) for t in texts])
+    def __init__(self, texts: list[str], labels: list[int], noise: float = 0.0, unlabelled: Levels | None = None):
+        levels = gram_levels(texts, labels)
+        if unlabelled is not None:
+            levels = joined(unlabelled, levels)
         self.grams, self.contexts = {}, {}
-        hashes = {n: _hashes(codes, place, n) for n in range(1, ORDER + 1)}
         for n in range(1, ORDER + 1):
-            known = hashes[n] >= 0
-            g, y = hashes[n][known], of[known]
-            context = np.zeros(len(codes), dtype=np.int64)
-            if n > 1:
-                context[1:] = hashes[n - 1][:-1]
-            c = context[known]
-            if n == ORDER:  # raw counts; below, the number of different characters to the left
-                key, at, inv = np.unique(g, return_index=True, return_inverse=True)
-                counts = np.stack([np.bincount(inv, weights=y == k, minlength=len(key)) for k in (0, 1)], axis=1)
-                first = c[at]
-            else:
-                longer = np.full(len(codes), -1, dtype=np.int64)
-                longer[:] = hashes[n + 1]
-                longer = longer[known]
-                _, one = np.unique((g * 31 + longer) * 2 + y, return_index=True)
-                key, inv = np.unique(g[one], return_inverse=True)
-                counts = np.stack([np.bincount(inv, weights=y[one] == k, minlength=len(key)) for k in (0, 1)], axis=1)
-                _, at = np.unique(g, return_index=True)
-                first = c[at]
+            key, _, first, counts, starts = levels[n]
+
+            def of(classes: tuple[int, ...], n=n, key=key, counts=counts, starts=starts) -> np.ndarray:
+                if n == ORDER:  # raw counts; below, the number of different characters to the left
+                    return counts[:, classes].sum(axis=1)
+                _, suffix, _, longer, _ = levels[n + 1]
+                there = suffix[longer[:, classes].sum(axis=1) > 0]
+                left = np.bincount(np.searchsorted(key, there), minlength=len(key))
+                return left + (starts[:, classes].sum(axis=1) > 0)
+
+            annotated = np.stack([of((0,)), of((1,))], axis=1).astype(np.float64)
+            counts = np.stack([of((0, 2)), annotated[:, 1]], axis=1) if unlabelled is not None else annotated
             if noise and n > SHARED:  # what mislabelled rows of the other class would have left here
-                counts = np.maximum(counts - noise * counts[:, ::-1] - ((counts == 1) & (counts[:, ::-1] > 2)), 0)
+                other = annotated[:, ::-1]
+                counts = np.maximum(counts - noise * other - ((counts == 1) & (other > 2)), 0)
             if n <= SHARED:
                 counts = np.repeat(counts.sum(axis=1, keepdims=True), 2, axis=1)
             self.grams[n] = Table(key, counts)
@@ -145,6 +182,7 @@ class Contrast:
             count = self.grams[n][h[known]]
             stats = self.contexts[n][before[known]]
             total = np.maximum(stats[:, :2], 1e-9)
+            count = np.minimum(count, stats[:, :2])  # n-grams of one bin may have several contexts
             q = np.maximum(count - DISCOUNT, 0) / total + DISCOUNT * stats[:, 2:] / total * p[known]
             p[known] = np.where(stats[:, :2] > 0, q, p[known])
             if n > SHARED:  # the abusive class leans on ordinary counts until it has its own
@@ -176,9 +214,9 @@ class Contrast:
         return out
 
 
-def fit(texts: list[str], labels: list[int]) -> Contrast:
+def fit(texts: list[str], labels: list[int], unlabelled: Levels | None = None) -> Contrast:
     """Fit, then fit again with the best stretches of the abusive rows only."""
-    c = Contrast(texts, labels)
+    c = Contrast(texts, labels, unlabelled=unlabelled)
     for _ in range(2):
         marked = [t for t, y in zip(texts, labels, strict=True) if y]
         plain = [t for t, y in zip(texts, labels, strict=True) if not y]
@@ -186,7 +224,7 @@ def fit(texts: list[str], labels: list[int]) -> Contrast:
         for t, (score, lo, hi) in zip(marked, c.best_stretches(marked), strict=True):
             if score > 0.5:
                 parts.append(t[lo:hi])
-        c = Contrast(plain + parts, [0] * len(plain) + [1] * len(parts), NOISE)
+        c = Contrast(plain + parts, [0] * len(plain) + [1] * len(parts), NOISE, unlabelled)
     return c
 
 
@@ -200,14 +238,14 @@ def best_threshold(scores: np.ndarray, labels: np.ndarray) -> tuple[float, float
     return float((s[k] + s[min(k + 1, len(s) - 1)]) / 2), float(f1[k])
 
 
-def held_out(texts: list[str], taught: np.ndarray, folds: int = 3, more: tuple[list[str], list[int]] = ([], [])) -> np.ndarray:
-    """Scores of all texts by models that haven't seen them, taught with the labels ``taught`` and the rows ``more``."""
+def held_out(texts: list[str], taught: np.ndarray, folds: int = 3, unlabelled: Levels | None = None) -> np.ndarray:
+    """Scores of all texts by models that haven't seen them, taught with the labels ``taught`` and the n-grams ``unlabelled``."""
     groups = {t: k for k, t in enumerate(sorted(set(texts)))}
     fold = np.array([groups[t] * 7919 % folds for t in texts])
     scores = np.zeros(len(texts))
     for k in range(folds):
         train, test = np.flatnonzero(fold != k), np.flatnonzero(fold == k)
-        c = fit([texts[i] for i in train] + more[0], taught[train].tolist() + more[1])
+        c = fit([texts[i] for i in train], taught[train].tolist(), unlabelled)
         scores[test] = [s for s, _, _ in c.best_stretches([texts[i] for i in test])]
     return scores
 
@@ -225,11 +263,12 @@ def settled(texts: list[str], y: np.ndarray, scores: np.ndarray, threshold: floa
     return out
 
 
-def cross_fit(texts: list[str], labels: list[int], unlabelled: list[str] = ()) -> tuple[Contrast, float, float]:
+def cross_fit(texts: list[str], labels: list[int], ordinary: Callable[[Contrast, float, set[str]], Levels] | None = None) -> tuple[Contrast, float, float]:
     """(model, threshold, held-out F1).
 
     The threshold comes from rows that the scoring model hasn't seen.  Labels that held-out scores contradict are
-    taken as errors of annotation, if the scores are reliable at all.  Unlabelled texts that are clearly not abusive teach the ordinary class too.
+    taken as errors of annotation, if the scores are reliable at all.  Unlabelled texts that are clearly not abusive teach the ordinary class too: ``ordinary`` gives the n-grams of those that
+    a model scores below a threshold, without the texts of a set.
     """
     y = np.array(labels)
     scores = held_out(texts, y)
@@ -240,37 +279,64 @@ def cross_fit(texts: list[str], labels: list[int], unlabelled: list[str] = ()) -
     threshold, f1 = best_threshold(scores, taught)
     if f1 >= RELIABLE:
         taught = np.where(scores < 0.5 * threshold, 0, taught)
-    seen = set(texts)
-    extra = sorted({t for t in unlabelled if t and t not in seen})
-    more: tuple[list[str], list[int]] = ([], [])
-    for _ in range(2 if extra else 0):
-        c = fit(texts + more[0], taught.tolist() + more[1])
-        low = [t for t, (s, _, _) in zip(extra, c.best_stretches(extra), strict=True) if s < threshold]
-        more = (low, [0] * len(low))
-        scores = held_out(texts, taught, more=more)
+    seen, unlabelled = set(texts), None
+    for _ in range(2 if ordinary else 0):
+        unlabelled = ordinary(fit(texts, taught.tolist(), unlabelled), threshold, seen)
+        scores = held_out(texts, taught, unlabelled=unlabelled)
         threshold, f1 = best_threshold(scores, taught)
-    return fit(texts + more[0], taught.tolist() + more[1]), threshold, f1
+    return fit(texts, taught.tolist(), unlabelled), threshold, f1
 
 
-def scored(df: DataFrame, id_col: str, text: str, label, sample_rows: int = SAMPLE_ROWS, unlabelled_rows: int = UNLABELLED_ROWS) -> DataFrame:
+def ordinary_levels(forms: DataFrame, model: Contrast, threshold: float, seen: set[str]) -> Levels:
+    """The n-grams of all texts (form) that the model scores below the threshold, without those of ``seen``."""
+
+    def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            for lo in range(0, len(f), 2000):
+                texts = [t for t in f["form"].iloc[lo : lo + 2000] if t not in seen]
+                low = [t for t, (s, _, _) in zip(texts, model.best_stretches(texts), strict=True) if s < threshold]
+                for n, (key, suffix, context, counts, starts) in gram_levels(low, [2] * len(low)).items():
+                    yield pd.DataFrame({"n": n, "key": key, "suffix": suffix, "context": context, "many": counts[:, 2], "starts": starts[:, 2]})
+
+    parts = forms.mapInPandas(grams, "n int, key int, suffix int, context int, many double, starts double")
+    got = parts.groupBy("n", "key").agg(*[F.min(c).alias(c) for c in ("suffix", "context")], *[F.sum(c).alias(c) for c in ("many", "starts")]).toPandas()
+    out: Levels = {}
+    for n in range(1, ORDER + 1):
+        f = got[got["n"] == n].sort_values("key")
+        counts, starts = np.zeros((len(f), CLASSES)), np.zeros((len(f), CLASSES))
+        counts[:, 2], starts[:, 2] = f["many"], f["starts"]
+        out[n] = *(f[c].to_numpy(dtype=np.int64) for c in ("key", "suffix", "context")), counts, starts
+    return out
+
+
+def scored(df: DataFrame, id_col: str, text: str, label, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, score, abusive, for every row.  label: a boolean expression, null where a row is not labelled.
 
-    The models are fitted on at most ``sample_rows`` labelled and ``unlabelled_rows`` other rows (the least by a seeded hash of
-    the id; all, if there are fewer).  Null and empty texts score -9 and are not abusive; without labelled rows of both
+    The models are fitted on at most ``sample_rows`` different labelled texts (the least by a seeded hash; all, if there
+    are fewer) and on the n-gram counts of all different unlabelled texts, in 2 ** ``BIN_BITS`` hash bins an order.
+    Null and empty texts score -9 and are not abusive; without labelled rows of both
     kinds all rows score 0.  Copies of one text get one score; texts of any length are read whole.
     """
     spark = df.sparkSession
     looks = build_table(spark)
-    taught = df.select(F.col(text).alias("t"), label.alias("y"), F.xxhash64(F.lit(6), id_col).alias("r")).where("t <> ''")
+    taught = df.select(F.col(text).alias("t"), label.alias("y")).where("t <> ''")
     votes: dict[str, list[int]] = {}
-    for r in taught.where("y IS NOT NULL").orderBy("r", "t").limit(sample_rows).collect():
-        votes.setdefault(plain_form(r["t"], looks), []).append(int(r["y"]))
-    others = [plain_form(r["t"], looks) for r in taught.where("y IS NULL").orderBy("r", "t").limit(unlabelled_rows).collect()]
-    pairs = [(t, int(sum(v) * 2 > len(v))) for t, v in sorted(votes.items()) if t]
+    of_text = taught.where("y IS NOT NULL").groupBy("t").agg(F.count_if("y").alias("yes"), F.count("y").alias("n"))
+    for r in of_text.orderBy(F.xxhash64(F.lit(6), "t"), "t").limit(sample_rows).collect():
+        v = votes.setdefault(plain_form(r["t"], looks), [0, 0])
+        v[0], v[1] = v[0] + r["yes"], v[1] + r["n"]
+    pairs = [(t, int(yes * 2 > n)) for t, (yes, n) in sorted(votes.items()) if t]
     kind = df.schema[id_col].dataType.simpleString()
     if len({y for _, y in pairs}) < 2:
         return df.select(F.col(id_col).alias("id"), F.lit(0.0).alias("score"), F.lit(False).alias("abusive"))
-    model, threshold, _ = cross_fit([t for t, _ in pairs], [y for _, y in pairs], others)
+
+    def plain(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            yield pd.DataFrame({"form": [plain_form(t, looks) for t in f["t"]]})
+
+    forms = cut(taught.where("y IS NULL").select("t").distinct().mapInPandas(plain, "form string").where("form <> ''").distinct())
+    ordinary = None if forms.isEmpty() else lambda *given: ordinary_levels(forms, *given)
+    model, threshold, _ = cross_fit([t for t, _ in pairs], [y for _, y in pairs], ordinary)
 
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:

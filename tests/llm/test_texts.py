@@ -178,6 +178,15 @@ def test_abuse_held_out(spark):
     assert [x["score"] for x in A.scored(df.where("id < 3 AND y IS NULL"), "id", "key", F.col("y") > 0).collect()] == [0.0]
 
 
+def test_abuse_counts_every_unlabelled_text(spark):
+    r = random.Random(5)
+    rows = [(i, f"{sentence(r)} you are a {r.choice(['moron', 'clown'])}" if i % 3 == 0 else sentence(r), int(i % 3 == 0) if i < 90 else None) for i in range(150)]
+    copies = [(i, "the same line again", None) for i in range(1000, 14000)]
+    few, many = (spark.createDataFrame(x, "id long, key string, y int") for x in (rows + copies[:1], rows + copies))
+    score = lambda df: {x["id"]: (round(x["score"], 6), x["abusive"]) for x in A.scored(df, "id", "key", F.col("y") > 0).where("id < 1000").collect()}
+    assert score(few) == score(many)
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     c = A.Contrast([" abab ", " abba ", " bbbb "], [0, 0, 1])
     assert len(c.ratios([" ab "])[0]) == 4 and c.best_stretches([])==[] and c.best_stretches([""])[0][0] == -9.0
