@@ -60,6 +60,13 @@ def test_leaks_against_brute_force(spark):
     assert got - {(903, 5)} == want and (903, 5) in got and len(want) > 50
 
 
+def test_leaks_after_a_replaced_word(spark):
+    words = [f"{x}{y}" for x in ("amber", "cedar", "delta", "flint", "gravel") for y in ("fall", "moor", "ness", "port", "wick")]
+    docs = [(1, " ".join([*words[:5], "zzzzzz", *words[6:19]])), (2, " ".join([*words[:5], "zzzzzz", *words[6:14]]))]
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")
+    assert [tuple(x) for x in K.leaked_items(d, i).collect()] == [(1, 7)]
+
+
 def test_leaks_of_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     assert K.leaked_items(d, i.where("false")).count() == 0 and K.leaked_items(d.where("false"), i).count() == 0 and K.leaked_items(d, i).count() == 0
