@@ -12,6 +12,7 @@ A text is cut into stretches of one language by dynamic programming over its wor
 from __future__ import annotations
 
 import re
+from collections import deque
 from collections.abc import Iterator, Sequence
 
 import numpy as np
@@ -31,7 +32,7 @@ SAMPLE_ROWS = 12_000
 ROUNDS = 3
 PRIOR = 200.0
 UNKNOWN = 1e-6
-LONGEST = 48
+LONGEST = 48  # longer words are summed in logs, and their scores not remembered
 ROW_WORDS = 60  # a longer row teaches no more than so many words
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 APART = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")  # a word spelled letter by letter
@@ -60,20 +61,28 @@ class Unigrams:
         self.none = np.full(len(LANGUAGES), UNKNOWN)
         self.memory: dict[str, np.ndarray] = {}
 
+    def arcs(self, s: str, j: int) -> list[tuple[int, str | None, np.ndarray]]:
+        """What may end at place j: (start, piece or None for an unknown letter, probabilities)."""
+        out = [(i, s[i:j], p) for i in range(max(0, j - self.longest), j) if (p := self.pieces.get(s[i:j])) is not None]
+        if not out or out[-1][0] < j - 1:
+            out.append((j - 1, None, self.none))
+        return out
+
     def lattice(self, word: str) -> tuple[str, list[list[tuple[int, str | None, np.ndarray]]]]:
-        s = "▁" + word[:LONGEST]
-        into: list[list[tuple[int, str | None, np.ndarray]]] = [[] for _ in range(len(s) + 1)]
-        for i in range(len(s)):
-            for j in range(i + 1, min(len(s), i + self.longest) + 1):
-                p = self.pieces.get(s[i:j])
-                if p is not None:
-                    into[j].append((i, s[i:j], p))
-            if not any(k == i for k, _, _ in into[i + 1]):
-                into[i + 1].append((i, None, self.none))
-        return s, into
+        s = "▁" + word
+        return s, [[], *[self.arcs(s, j) for j in range(1, len(s) + 1)]]
+
+    def long_score(self, word: str) -> np.ndarray:
+        """``score`` of a word of any length; keeps the last few places only."""
+        s, a = "▁" + word, deque([np.zeros(len(LANGUAGES))], maxlen=self.longest)
+        for j in range(1, len(s) + 1):
+            a.append(np.logaddexp.reduce([a[i - j] + np.log(np.maximum(p, 1e-300)) for i, _, p in self.arcs(s, j)]))
+        return a[-1]
 
     def score(self, word: str) -> np.ndarray:
         """Log-probability of the word in each language, over all segmentations; zeros for ''."""
+        if len(word) > LONGEST:
+            return self.long_score(word)
         got = self.memory.get(word)
         if got is None:
             if len(self.memory) > 200_000:
@@ -96,18 +105,30 @@ class Unigrams:
         """Add the expected piece counts of a word that was seen ``weight`` times in each language."""
         s, into = self.lattice(word)
         n = len(s)
-        a = [np.ones(len(LANGUAGES))]
-        for j in range(1, n + 1):
-            a.append(sum((a[i] * p for i, _, p in into[j]), np.zeros(len(LANGUAGES))))
-        b = [np.zeros(len(LANGUAGES)) for _ in range(n)] + [np.ones(len(LANGUAGES))]
-        for j in range(n, 0, -1):
-            for i, _, p in into[j]:
-                b[i] = b[i] + p * b[j]
-        z = weight / np.maximum(a[n], 1e-300)
+        if len(word) > LONGEST:
+            into = [[(i, piece, np.log(np.maximum(p, 1e-300))) for i, piece, p in x] for x in into]
+            a = [np.zeros(len(LANGUAGES))]
+            for j in range(1, n + 1):
+                a.append(np.logaddexp.reduce([a[i] + p for i, _, p in into[j]]))
+            b = [np.full(len(LANGUAGES), -np.inf) for _ in range(n)] + [np.zeros(len(LANGUAGES))]
+            for j in range(n, 0, -1):
+                for i, _, p in into[j]:
+                    b[i] = np.logaddexp(b[i], p + b[j])
+            share = lambda i, p, j: np.exp(a[i] + p + b[j] - a[n]) * weight
+        else:
+            a = [np.ones(len(LANGUAGES))]
+            for j in range(1, n + 1):
+                a.append(sum((a[i] * p for i, _, p in into[j]), np.zeros(len(LANGUAGES))))
+            b = [np.zeros(len(LANGUAGES)) for _ in range(n)] + [np.ones(len(LANGUAGES))]
+            for j in range(n, 0, -1):
+                for i, _, p in into[j]:
+                    b[i] = b[i] + p * b[j]
+            z = weight / np.maximum(a[n], 1e-300)
+            share = lambda i, p, j: a[i] * p * b[j] * z
         for j in range(1, n + 1):
             for i, piece, p in into[j]:
                 if piece is not None:
-                    c = a[i] * p * b[j] * z
+                    c = share(i, p, j)
                     if piece in counts:
                         counts[piece] += c
                     else:

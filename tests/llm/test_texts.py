@@ -159,6 +159,17 @@ def test_forward_sums_all_segmentations():
     assert np.allclose(counts["ab"], 0.2 * 0.25 / want) and np.allclose(counts["▁a"], 0.05 * 0.1 / want)
 
 
+def test_long_words_are_read_whole():
+    pieces = {p: np.full(len(N.LANGUAGES), w) for p, w in (("▁", 0.2), ("a", 0.3), ("b", 0.1), ("ab", 0.25))}
+    pieces["b"][0] = 0.2
+    m = N.Unigrams(pieces, 2)
+    want = np.log(0.2) + 60 * np.log(0.3) + 40 * np.log(pieces["b"]) + np.log(1 + 0.25 / (0.3 * pieces["b"]))
+    assert np.allclose(m.score("a" * 60 + "b" * 40), want)
+    counts = {}
+    m.expect("a" * 600 + "b" * 400, np.ones(len(N.LANGUAGES)), counts)
+    assert np.allclose(counts["a"] + counts["ab"], 600) and np.allclose(counts["b"] + counts["ab"], 400)
+
+
 def test_segments_of_empty_and_short_texts():
     assert N.segments(np.zeros((0, 7)), []) == [] and N.segments(np.eye(7)[:3], [False] * 3)[0][:2] == (0, 3)
 
