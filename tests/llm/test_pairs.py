@@ -80,6 +80,21 @@ def test_overlaps_against_all_pairs(spark):
     assert (9003, 9004) in got and (9009, 9010) in got and not any(9008 in p for p in got)
 
 
+def test_tiny_texts_against_all_pairs(spark):
+    r = random.Random(11)
+    texts = ["abcdefgh", "abcxefgh", "abcd", "abxd", "abcde", "abxde", "abcdefghijklmno", "abxdefgyijklzno"]
+    for _ in range(60):
+        t = [r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(4, 15))]
+        texts.append("".join(t))
+        for _ in range(r.randint(1, 3)):
+            k = r.randrange(len(t))
+            t[k : k + 1] = r.choice([[], ["z"], [t[k], "z"]])
+        texts.append("".join(t[:15]))
+    rows = [(i, t, ("train", "test")[i % 2]) for i, t in enumerate(texts)]
+    got = {(x["train_id"], x["eval_id"]) for x in O.cross_split_overlaps(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s").collect()}
+    assert got == {(i, j) for i, t, s in rows for j, u, v in rows if (s, v) == ("train", "test") and t and u and levenshtein(t, u) <= 0.2 * max(len(t), len(u))} and len(got) > 30
+
+
 def test_overlaps_of_empty_tables_and_one_side(spark):
     df = spark.createDataFrame([(1, "a text", "train"), (2, "a text", "train")], "id long, t string, s string")
     assert O.cross_split_overlaps(df, "id", "t", "s").count() == 0
