@@ -10,7 +10,7 @@ from embertrace.llm.encoding import garbled
 from embertrace.llm.language import identified, label_cases
 from embertrace.llm.leaks import leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
-from embertrace.llm.overlap import cross_split_overlaps
+from embertrace.llm.overlap import cross_split_overlaps, overlap_records
 from embertrace.llm.packing import CAPACITY, packed
 from embertrace.llm.quota import distinct_items, quota_plan, quota_sample, targets_from_counts
 from embertrace.llm.splits import assign_splits, component_pairs, components
@@ -24,13 +24,18 @@ def p1_found(spark: SparkSession, root: str) -> DataFrame:
     return p.select(F.least("train_id", "eval_id").alias("gold_id_a"), F.greatest("train_id", "eval_id").alias("gold_id_b"))
 
 
+def p1_records(spark: SparkSession, root: str) -> DataFrame:
+    """Every row with text: its class of equal texts, near-same classes of the other side, and how much of it they cover."""
+    r = overlap_records(table(spark, root, "gold"), "gold_id", "text", "split")
+    return r.select(F.col("id").alias("gold_id"), "split", "class", "n_links", F.round("coverage", 6).alias("coverage"))
+
+
 def p1_report(spark: SparkSession, root: str) -> DataFrame:
-    """By split and source of the held-out rows: rows, rows with a partner in train, their mean best coverage."""
-    g = table(spark, root, "gold").select("gold_id", "split", "source", "text")
-    best = cross_split_overlaps(g, "gold_id", "text", "split").groupBy("eval_id").agg(F.max("coverage").alias("coverage"))
-    rows = g.where("split <> 'train'").join(best, F.col("gold_id") == F.col("eval_id"), "left")
-    return rows.groupBy("split", "source").agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count("coverage").alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
+    """By split and source: rows with text, rows with a partner on the other side, and the mean of the coverage of those."""
+    g = table(spark, root, "gold").select("gold_id", "source")
+    r = p1_records(spark, root).join(g, "gold_id")
+    return r.groupBy("split", "source").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.count_if(F.col("n_links") > 0).alias("n_overlapping"), F.round(F.avg("coverage"), 6).alias("mean_coverage"))
 
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
@@ -151,7 +156,7 @@ QUERIES = {
     "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_report": p9_report,
-    "p1_found": p1_found, "p1_report": p1_report,
+    "p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
     "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split,
     "p7_found": p7_found, "p7_report": p7_report, "p7_sample": p7_sample,
@@ -171,7 +176,15 @@ t AS (SELECT year, (SELECT count(*) // 4 FROM enriched_gold_labeled)::DOUBLE * w
 a AS (SELECT year, count(DISTINCT key) AS available FROM enriched_gold_labeled WHERE key <> '' GROUP BY year),
 r AS (SELECT t.year, target, coalesce(available, 0) AS available, greatest(ceil(target), 20)::BIGINT AS quota FROM t LEFT JOIN a ON a.year = t.year)
 """
+_NEAR = """
+WITH g AS (SELECT gold_id, lower(trim(split)) AS split, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM gold WHERE text IS NOT NULL AND split IS NOT NULL),
+k AS (SELECT * FROM g WHERE t <> ''),
+pairs AS (
+  SELECT a.gold_id AS i, b.gold_id AS j, a.t AS s, b.t AS t FROM k a JOIN k b ON a.split = 'train' AND b.split <> 'train'
+  WHERE abs(length(a.t) - length(b.t)) <= 0.2 * greatest(length(a.t), length(b.t)) AND levenshtein(a.t, b.t) <= 0.2 * greatest(length(a.t), length(b.t)))
+"""
 ORACLES = {
+    "p1_found": _NEAR + "SELECT least(i, j) AS gold_id_a, greatest(i, j) AS gold_id_b FROM pairs",
     "p5_components": _COMPONENTS + "SELECT node AS match_id, component FROM c",
     "p5_found": _COMPONENTS + "SELECT x.node AS match_id_a, y.node AS match_id_b FROM c x JOIN c y ON x.component = y.component AND x.node < y.node",
     "p7_found": _TARGETS + "SELECT year FROM r WHERE available < target",
