@@ -1,21 +1,25 @@
-"""Evaluation texts leaking into training text: latent semantic retrieval, then successive-word checks.
+"""Evaluation texts leaking into training text: latent semantic retrieval, longest common subsequences, answer checks.
 
-1. Passages are windows of ``2 * BLOCK`` words, one starting every ``BLOCK`` words, so that any ``BLOCK`` successive
-   words lie whole in some window.  Terms are the words of the evaluation items; a word outside them weighs nothing.
+1. Passages are windows of ``3 * BLOCK`` words, one starting every ``2 * BLOCK`` words, in documents and items alike, so that
+   any ``BLOCK`` successive words lie whole in some passage on either side.  Terms are the words of the evaluation items; a
+   word outside them weighs nothing.
 2. One pass over all documents counts document frequencies and sketches the passage matrix: each task forms C'(C G) for
-   the term counts C of its windows and one fixed random G; Spark adds these (terms x rank) sketches with map-side
-   sums.  The driver scales them by IDF, adds the items' own windows (weighted up, so that the latent space separates
-   items too) and orthonormalises: a randomised SVD of the TF-IDF passages of the whole corpus.
-3. A second pass projects every window into that space and takes as candidates the items within cosine ``COSINE``.
-4. Candidates are checked: seeds (successive item words) first, then the longest run of successive item words in the
-   window, where a misspelt word still counts and inserted time or quote marks do not interrupt.
-
-The item side is small by nature; it is taken in blocks of ``ITEM_BLOCK`` items, so its broadcast size is bounded.
+   the term counts C of its passages and one fixed random G; Spark adds these (terms x ``SKETCH``) sketches with map-side
+   sums.  The driver scales them by squared IDF (at most one and a half times the median), adds the items' own passages (weighted up, so that the latent space separates
+   items too) and takes the singular vectors: a randomised SVD of the TF-IDF passages of the whole corpus.
+3. A second pass projects every passage into that space; the items' passages within cosine ``COSINE`` are its candidates, and
+   nothing else is.
+4. Each candidate gets its longest common subsequence (gaps allowed) and the share of the item passage's rarest words (its
+   answer) that the document passage holds.  Candidates with ``LEAST_COMMON`` words in common order are searched for the longest run
+   of successive item words, where a misspelt word still counts and inserted time or quote marks don't interrupt; every seed
+   that lies in no run tried before is tried.
+
+The item side is small by nature; it is taken in blocks of ``ITEM_WORDS`` words, which bounds what is broadcast.  Blocks of items'
+passages are compared within one scan.  The work of step 3 is (document passages) x (item passages) x ``RANK``.
 """
 
 from __future__ import annotations
 
-import math
 import re
 from collections.abc import Iterator
 
@@ -25,10 +29,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLOCK = 12
-RANK = 32
-COSINE = 0.1
-ITEM_BLOCK = 512
+SPAN, STRIDE = 3 * BLOCK, 2 * BLOCK
+RANK, SKETCH = 128, 32
+COSINE = 0.35
+LEAST_COMMON = 6
+ALIKE = 5  # equal words that a run shows on one diagonal within BLOCK words
+ANSWER = 5
+PARAPHRASE = 0.6
+ITEM_WORDS = 4_000_000
 ITEM_WEIGHT = 10.0
+PASSAGE_BLOCK = 4096
 SUB_WORDS = 40_000
 MARK = re.compile(r"^\W*(\d{1,3}:\d\d(:\d\d)?|t=\d+|slot=\d+)\W*$")
 CLEAN = re.compile(r"[\W_]+")
@@ -79,50 +89,107 @@ class Vocabulary:
         return a[a >= 0]
 
 
-def _batches(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray, np.ndarray]]:
-    """Documents in groups of about SUB_WORDS words: their places, word ids, block starts and the document of each block."""
+def _batches(texts: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[list[int], np.ndarray, np.ndarray]]:
+    """Documents in groups of about SUB_WORDS words: their places, word ids, and where each begins and the last ends."""
     places, parts, n = [], [], 0
     for place, a in texts:
-        places.append(place)
-        parts.append(a)
-        n += len(a)
+        if len(a):
+            places.append(place)
+            parts.append(a)
+            n += len(a)
         if n >= SUB_WORDS:
-            yield _blocks(places, parts)
+            yield places, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
             places, parts, n = [], [], 0
     if n:
-        yield _blocks(places, parts)
+        yield places, np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+
+def _blocks(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the blocks of BLOCK words, and the document of each."""
+    sizes = np.diff(bounds)
+    many = -(-sizes // BLOCK)
+    doc = np.repeat(np.arange(len(sizes)), many)
+    return bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * BLOCK, doc
+
+
+def passages(bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts of the passages, and the document of each."""
+    many = np.maximum(-(-(np.diff(bounds) - BLOCK + 1) // STRIDE), 1)
+    doc = np.repeat(np.arange(len(many)), many)
+    return bounds[:-1][doc] + (np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)) * STRIDE, doc
+
+
+def passage_sums(ids: np.ndarray, bounds: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(starts, documents, sums of ``weights`` rows) of the passages."""
+    at, of = _blocks(bounds)
+    sums = np.add.reduceat(weights[ids], at, axis=0)
+    starts, doc = passages(bounds)
+    first = np.searchsorted(at, starts)
+    out = sums[first]
+    for k in (1, 2):
+        there = np.flatnonzero((first + k < len(at)) & (of[np.minimum(first + k, len(at) - 1)] == doc))
+        out[there] += sums[first[there] + k]
+    return starts, doc, out
+
+
+def passage_words(ids: np.ndarray, bounds: np.ndarray, starts: np.ndarray, doc: np.ndarray, none: int) -> np.ndarray:
+    """The word ids of passages, ``none`` after the end of a document."""
+    x = starts[:, None] + np.arange(SPAN)
+    return np.where(x < bounds[1:][doc][:, None], ids[np.minimum(x, len(ids) - 1)], none)
+
+
+def _gram(ids: np.ndarray, bounds: np.ndarray, weights: np.ndarray, n: int) -> np.ndarray:
+    """C'(C G): what the passages' projections give back to their terms."""
+    starts, doc, p = passage_sums(ids, bounds, weights)
+    at, of = _blocks(bounds)
+    back = np.zeros((len(at), p.shape[1]), dtype=np.float32)  # a block lies in one or two passages
+    first = np.searchsorted(at, starts)
+    for k in (0, 1, 2):
+        there = np.flatnonzero((first + k < len(at)) & (of[np.minimum(first + k, len(at) - 1)] == doc))
+        back[first[there] + k] += p[there]
+    block = np.repeat(np.arange(len(at)), np.diff(np.append(at, len(ids))))
+    known = np.flatnonzero(ids < n)
+    order = known[np.argsort(ids[known], kind="stable")]
+    terms, begin = np.unique(ids[order], return_index=True)
+    y = np.zeros((n, p.shape[1]), dtype=np.float32)
+    if len(terms):
+        y[terms] = np.add.reduceat(back[block[order]], begin, axis=0)
+    return y
 
 
-def _blocks(places: list[int], parts: list[np.ndarray]):
-    kept = [(p, a) for p, a in zip(places, parts, strict=True) if len(a)]
-    starts, doc, at = [], [], 0
-    for k, (_, a) in enumerate(kept):
-        s = np.arange(0, len(a), BLOCK)
-        starts.append(s + at)
-        doc.append(np.full(len(s), k))
-        at += len(a)
-    return [p for p, _ in kept], np.concatenate([a for _, a in kept]), np.concatenate(starts), np.concatenate(doc)
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
 
 
-def window_sums(ids: np.ndarray, starts: np.ndarray, doc: np.ndarray, weights: np.ndarray) -> np.ndarray:
-    """For each block: the sum of ``weights`` rows over the window of that block and the document's next one."""
-    sums = np.add.reduceat(weights[ids], starts, axis=0)
-    out = sums.copy()
-    same = doc[1:] == doc[:-1]
-    out[:-1][same] += sums[1:][same]
-    return out
+def equal_bits(equal: np.ndarray) -> np.ndarray:
+    """(candidate, document word): the item words that equal it, as bits."""
+    packed = np.packbits(equal, axis=2, bitorder="little")
+    wide = np.zeros((*packed.shape[:2], 8), dtype=np.uint8)
+    wide[:, :, : packed.shape[2]] = packed
+    return wide.view("<u8")[:, :, 0]
 
 
-def _threes(ids: np.ndarray, n: int) -> np.ndarray:
-    """Codes of three successive words; -1 where a word is in no item."""
-    a = ids.astype(np.int64)
-    code = (a[:-2] * (n + 1) + a[1:-1]) * (n + 1) + a[2:]
-    code[(a[:-2] == n) | (a[1:-1] == n) | (a[2:] == n)] = -1
-    return code
+def common_length(bits: np.ndarray) -> np.ndarray:
+    """Longest common subsequence of each candidate's passages, by bit-parallel columns (SPAN is less than 64)."""
+    v = np.full(len(bits), (1 << SPAN) - 1, dtype=np.uint64)
+    for x in range(bits.shape[1]):
+        u = v & bits[:, x]
+        v = (v + u) | (v - u)
+    return SPAN - np.bitwise_count(v & np.uint64((1 << SPAN) - 1)).astype(np.int64)
 
 
-def _unit(x: np.ndarray) -> np.ndarray:
-    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-9)
+def sheared(equal: np.ndarray) -> np.ndarray:
+    """(candidate, document word, diagonal): equality along diagonals; the item's word is word - diagonal + SPAN - 1."""
+    wide = np.zeros((len(equal), SPAN, 2 * SPAN), dtype=np.int8)
+    wide[:, :, :SPAN] = equal[:, :, ::-1]
+    return wide.reshape(len(equal), -1)[:, : SPAN * (2 * SPAN - 1)].reshape(len(equal), SPAN, 2 * SPAN - 1)
+
+
+def strong(diagonals: np.ndarray) -> np.ndarray:
+    """Where BLOCK successive places of a diagonal hold ALIKE equal words or more: (candidate, diagonal)."""
+    c = np.cumsum(diagonals, axis=1, dtype=np.int8)
+    c[:, BLOCK:] -= c[:, :-BLOCK].copy()
+    return (c >= ALIKE).any(axis=1)
 
 
 def near(a: str, b: str) -> bool:
@@ -168,13 +235,35 @@ def run_length(doc: list[str], item: list[str], i: int, j: int, enough: int = BL
     return n + _extend(doc, item, i - 1, j - 1, -1, enough - n) if n < enough else n
 
 
+def longest_run(doc: list[str], item: list[str], seeds: list[tuple[int, int]], enough: int, tried: set[tuple[int, int]]) -> int:
+    """The longest run around any of the seeds, or the first of ``enough`` words.  A seed is passed over only if it was tried before,
+    or lies on the same diagonal within a run of equal words that was."""
+    best = 0
+    for x, y in seeds:
+        if (x, y) in tried:
+            continue
+        a, b = x, y
+        while a and b and doc[a - 1] == item[b - 1]:
+            a, b = a - 1, b - 1
+        while a < len(doc) and b < len(item) and doc[a] == item[b]:
+            tried.add((a, b))
+            a, b = a + 1, b + 1
+        best = max(best, run_length(doc, item, x, y, enough))
+        if best >= enough:
+            break
+    return best
+
+
 def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> DataFrame:
+    """doc_id, item_id, cosine, common, answer, run for the candidates that have enough words in common order."""
+    sc = docs.sparkSession.sparkContext
     spelled = [[w for w in map(word, t.lower().split()) if w] for _, t in items]
     item_ids = [i for i, _ in items]
     words = sorted({w for ws in spelled for w in ws})
     vocabulary = Vocabulary(words)
     n = len(words)
-    own = [vocabulary.encode(t) for _, t in items]
+    own = [vocabulary.encode(" ".join(ws)) for ws in spelled]
+    own_ids, own_bounds = np.concatenate(own), np.cumsum([0, *map(len, own)])
     prior = np.zeros(n + 1)
     for ids in own:
         prior[np.unique(ids)] += 1
@@ -182,30 +271,16 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> D
     rng = np.random.default_rng(20)
     probe = (rng.standard_normal((n + 1, RANK)) * prior[:, None]).astype(np.float32)
     probe[n] = 0
-
-    def gram(ids: np.ndarray, starts: np.ndarray, doc: np.ndarray, weights: np.ndarray) -> np.ndarray:
-        """C'(C G): what the windows' projections give back to their terms."""
-        p = window_sums(ids, starts, doc, weights)
-        r = p.copy()
-        same = doc[1:] == doc[:-1]
-        r[1:][same] += p[:-1][same]
-        block = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, len(ids))))
-        known = ids < n
-        order = np.argsort(ids[known], kind="stable")
-        terms, first = np.unique(ids[known][order], return_index=True)
-        y = np.zeros((n, RANK), dtype=np.float32)
-        if len(terms):
-            y[terms] = np.add.reduceat(r[block[known][order]], first, axis=0)
-        return y
-
-    columns = [f"y{k}" for k in range(RANK)]
+    given = sc.broadcast((vocabulary, probe[:, :SKETCH].copy()))
+    columns = [f"y{k}" for k in range(SKETCH)]
 
     def sketches(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        y, df, rows = np.zeros((n + 1, RANK)), np.zeros(n + 1, dtype=np.int64), 0
+        vocabulary, probe = given.value
+        y, df, rows = np.zeros((n + 1, SKETCH)), np.zeros(n + 1, dtype=np.int64), 0
         for f in frames:
-            for _, ids, starts, doc in _batches((k, vocabulary.encode(t)) for k, t in enumerate(f["text"])):
-                y[:n] += gram(ids, starts, doc, probe)
-                of = np.repeat(doc, np.diff(np.append(starts, len(ids)))).astype(np.int64)
+            for _, ids, bounds in _batches((k, vocabulary.encode(t)) for k, t in enumerate(f["text"])):
+                y[:n] += _gram(ids, bounds, probe, n)
+                of = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds)).astype(np.int64)
                 df += np.bincount(np.unique(of * (n + 1) + ids) % (n + 1), minlength=n + 1)
             rows += len(f)
         df[n] = rows  # the last term counts the documents
@@ -213,100 +288,99 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> D
         yield pd.DataFrame({"term": some, "df": df[some]} | {c: y[some, k] for k, c in enumerate(columns)})
 
     parts = docs.select("text").mapInPandas(sketches, "term int, df long, " + ", ".join(f"{c} double" for c in columns))
-    y, df = np.zeros((n + 1, RANK)), np.zeros(n + 1)
-    for r in parts.groupBy("term").agg(F.sum("df"), *[F.sum(c) for c in columns]).collect():  # at most the items' words
-        y[r[0]], df[r[0]] = r[2:], r[1]
-    idf = (np.log((df[n] + 1) / (df[:n] + 1)) + 0.1)[:, None]
-    mine = np.zeros((n, RANK))
-    for _, ids, starts, doc in _batches(enumerate(own)):
-        mine += gram(ids, starts, doc, probe)
-    weight = ITEM_WEIGHT * max(np.abs(y[:n] * idf).sum(), 1.0) / max(np.abs(mine * idf).sum(), 1e-9)
+    y, df = np.zeros((n + 1, SKETCH)), np.zeros(n + 1)
+    got = parts.groupBy("term").agg(F.sum("df").alias("df"), *[F.sum(c).alias(c) for c in columns]).toPandas()  # at most the items' words
+    y[got["term"].to_numpy()], df[got["term"].to_numpy()] = got[columns].to_numpy(), got["df"].to_numpy()
+    idf = np.append(np.where(df[:n] > 0, np.log((df[n] + 1) / (df[:n] + 1)) + 0.1, 0.0), 0.0)  # a word of no document tells nothing
+    usual = float(np.median(idf[idf > 0])) if (idf > 0).any() else 1.0
+    weight = (np.minimum(idf, 1.5 * usual) ** 2)[:, None]  # no single rare word decides
+    corpus = y[:n] * weight[:n] @ rng.standard_normal((SKETCH, RANK))
+    mine = _gram(own_ids, own_bounds, probe, n) * weight[:n]
+    scale = ITEM_WEIGHT * max(np.abs(corpus).sum(), 1.0) / max(np.abs(mine).sum(), 1e-9)
+    u, s, _ = np.linalg.svd(corpus + scale * mine, full_matrices=False)
     basis = np.zeros((n + 1, RANK), dtype=np.float32)
-    if n:
-        q = np.linalg.qr((y[:n] + weight * mine) * idf)[0]
-        basis[:n, : q.shape[1]] = q * idf
-    centres = _unit(np.array([basis[ids].sum(axis=0) for ids in own]))
-
-    # Seeds are three successive words.  Two misspelt words destroy at most six of the ten in a run, so an item each of
-    # whose runs holds seven seeds that few items have can do without the phrases everybody uses; others take all.
-    own_threes = [_threes(ids, n) for ids in own]
-    holders: dict[int, int] = {}
-    for t in own_threes:
-        for c in set(t.tolist()):
-            holders[c] = holders.get(c, 0) + 1
-    most = max(2, len(items) // 20)
-    rows = []
-    for k, t in enumerate(own_threes):
-        hit = np.array([holders[c] <= most for c in t.tolist()], dtype=int)
-        width = max(1, least - 2)
-        runs = np.convolve(hit, np.ones(width, dtype=int), "valid") if len(hit) >= width else np.zeros(1, dtype=int)
-        rows += [(c, k, j) for j, (c, h) in enumerate(zip(t.tolist(), hit.tolist(), strict=True)) if h or runs.min() < 7]
-    rows.sort()
-    codes, first, many = np.unique(np.array([r[0] for r in rows], dtype=np.int64), return_index=True, return_counts=True)
-    seed_item, seed_at = np.array([r[1] for r in rows], dtype=np.int64), np.array([r[2] for r in rows], dtype=np.int64)
-    span = max((len(ids) for ids in own), default=1) + 1
-    padded = np.full((len(own), span + 2 * BLOCK + 3), -2, dtype=np.int32)
-    for k, ids in enumerate(own):
-        padded[k, BLOCK : BLOCK + len(ids)] = ids
+    basis[:n, : u.shape[1]] = u * (s > 1e-9 * max(s[0], 1e-300)) * weight[:n]
+    starts, passage_item, centres = passage_sums(own_ids, own_bounds, basis)
+    written = passage_words(own_ids, own_bounds, starts, passage_item, -2)
+    rare = np.argsort(-np.where(written >= 0, idf[written], -1.0), axis=1, kind="stable")[:, :ANSWER]
+    answers = np.zeros(len(written), dtype=np.uint64)
+    for k in range(ANSWER):
+        place = rare[:, k]
+        answers |= np.where(written[np.arange(len(written)), place] >= 0, np.uint64(1) << place.astype(np.uint64), np.uint64(0))
+    size = (written >= 0).sum(axis=1)
+    model = sc.broadcast((vocabulary, spelled, basis, _unit(centres), passage_item, starts - own_bounds[:-1][passage_item], written, answers, size))
 
     def search(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        vocabulary, spelled, basis, centres, of_item, item_at, written, answers, size = model.value
         for f in frames:
             texts, names, out = f["text"].tolist(), f["doc_id"].tolist(), []
-            for places, ids, starts, doc in _batches((k, vocabulary.encode(t)) for k, t in enumerate(texts)):
-                cos = _unit(window_sums(ids, starts, doc, basis)) @ centres.T
-                near_items = cos >= COSINE
-                threes = _threes(ids, n)
-                at = np.minimum(np.searchsorted(codes, threes), max(len(codes) - 1, 0))
-                seen = np.flatnonzero(codes[at] == threes) if len(codes) and len(threes) else np.zeros(0, dtype=np.int64)
-                code = at[seen]
-                # every (place, item, item place) of the seeds seen; one per (document, item, diagonal), near in the latent space
-                place = np.repeat(seen, many[code])
-                entry = np.arange(len(place)) - np.repeat(np.cumsum(many[code]) - many[code], many[code]) + np.repeat(first[code], many[code])
-                item, j = seed_item[entry], seed_at[entry]
-                block = np.searchsorted(starts, place, side="right") - 1
-                close = near_items[block, item] | near_items[np.maximum(block - 1, 0), item]
-                place, item, j, block = place[close], item[close], j[close], block[close]
-                # a run shows at least five equal words along its diagonal within BLOCK words of a seed
-                around = np.arange(-BLOCK, BLOCK + 3)
-                x = place[:, None] + around
-                x[(x < 0) | (x >= len(ids))] = 0
-                alike = (ids[x] == padded[item[:, None], j[:, None] + around + BLOCK]).sum(axis=1) >= 5
-                place, item, j, block = place[alike], item[alike], j[alike], block[alike]
-                # successive seeds of one diagonal lie in one run, so the first of them will do
-                order = np.lexsort((place, place - j, item))
-                place, item, j, block = place[order], item[order], j[order], block[order]
-                again = (np.diff(item) == 0) & (np.diff(place) == 1) & (np.diff(j) == 1) & (np.diff(doc[block]) == 0)
-                one = np.flatnonzero(np.append(True, ~again)) if len(place) else order
-                doc_first = starts[np.searchsorted(doc, np.arange(len(places)))] if len(doc) else np.zeros(0, dtype=np.int64)
-                done: set[tuple[int, int]] = set()
+            for places, ids, bounds in _batches((k, vocabulary.encode(t)) for k, t in enumerate(texts)):
+                starts, doc, sums = passage_sums(ids, bounds, basis)
+                sums = _unit(sums)
+                best: dict[tuple[int, int], list] = {}
+                tried: dict[tuple[int, int], set] = {}
                 spelling: dict[int, list[str]] = {}
-                for p, k, y, b in zip(place[one].tolist(), item[one].tolist(), j[one].tolist(), block[one].tolist(), strict=True):
-                    d = int(doc[b])
-                    if (d, k) in done:
-                        continue
-                    if d not in spelling:
-                        spelling[d] = vocabulary.spell(texts[places[d]])
-                    if run_length(spelling[d], spelled[k], p - int(doc_first[d]), y, least) >= least:
-                        done.add((d, k))
-                out += [(names[places[d]], item_ids[k]) for d, k in done]
-            yield pd.DataFrame(out, columns=["doc_id", "item_id"]).astype("int64")
-
-    return docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long")
-
-
-def leaked_items(docs: DataFrame, items: DataFrame, least: int = BLOCK) -> DataFrame:
-    """doc_id, item_id: documents (doc_id, text) with ``least`` or more successive words of an item (item_id, text).
-
+                for lo in range(0, len(centres), PASSAGE_BLOCK):
+                    cosine = sums @ centres[lo : lo + PASSAGE_BLOCK].T
+                    every = np.flatnonzero(cosine.ravel() >= COSINE)
+                    for part in range(0, len(every), 20_000):
+                        w, p = np.divmod(every[part : part + 20_000], cosine.shape[1])
+                        here = cosine[w, p]
+                        p = p + lo
+                        mine = passage_words(ids, bounds, starts[w], doc[w], n)
+                        equal = mine[:, :, None] == written[p][:, None, :]
+                        bits = equal_bits(equal)
+                        common = common_length(bits)
+                        kept = np.flatnonzero(common >= np.minimum(LEAST_COMMON, size[p]))
+                        if not len(kept):
+                            continue
+                        w, p, here, common, equal = w[kept], p[kept], here[kept], common[kept], equal[kept]
+                        held = np.bitwise_or.reduce(bits[kept], axis=1) & answers[p]
+                        answer = np.bitwise_count(held) / np.maximum(np.bitwise_count(answers[p]), 1)
+                        lines = sheared(equal)
+                        on = strong(lines)
+                        share = common / np.maximum(size[p], 1)
+                        for c in np.flatnonzero(on.any(axis=1) | ((share >= PARAPHRASE) & (answer >= PARAPHRASE))).tolist():
+                            d, k = int(doc[w[c]]), int(of_item[p[c]])
+                            b = best.setdefault((d, k), [0.0, 0.0, 0.0, 0])
+                            if (share[c], answer[c]) > (b[1], b[2]):
+                                b[:3] = float(here[c]), float(share[c]), float(answer[c])
+                            if b[3] >= least or not on[c].any():
+                                continue
+                            if d not in spelling:
+                                spelling[d] = vocabulary.spell(texts[places[d]])
+                            x, line = np.nonzero(lines[c] * on[c])
+                            x0, y0 = int(starts[w[c]] - bounds[d]), int(item_at[p[c]])
+                            seeds = [(x0 + i, y0 + i - g + SPAN - 1) for i, g in zip(x.tolist(), line.tolist(), strict=True)]
+                            b[3] = max(b[3], longest_run(spelling[d], spelled[k], seeds, least, tried.setdefault((d, k), set())))
+                out += [(names[places[d]], item_ids[k], *b) for (d, k), b in best.items()]
+            yield pd.DataFrame(out, columns=["doc_id", "item_id", "cosine", "common", "answer", "run"]).astype({"doc_id": "int64", "item_id": "int64", "run": "int32"})
+
+    return docs.select("doc_id", "text").mapInPandas(search, "doc_id long, item_id long, cosine double, common double, answer double, run int")
+
+
+def leak_candidates(docs: DataFrame, items: DataFrame, least: int = BLOCK) -> DataFrame:
+    """doc_id, item_id, cosine, common, answer, run: documents and items with a verbatim run or a paraphrased passage.
+
+    run: the longest run of successive item words that was found (it may stop at ``least``); common and answer: the shares of an
+    item passage's words in common order, and of its rarest words, in the best document passage.
     Null and empty texts on either side never match; an item shorter than ``least`` words can't leak; repeated
     documents each get their rows.  Empty tables give an empty result.
     """
     d = docs.select("doc_id", "text").where("text IS NOT NULL AND text <> ''")
-    blocks = max(1, math.ceil(items.count() / ITEM_BLOCK))
     out = None
+    kept = items.select("item_id", "text").where("text IS NOT NULL").withColumn("n", F.size(F.split("text", r"\s+")))
+    words = kept.agg(F.sum("n")).first()[0] or 0
+    blocks = -(-words // ITEM_WORDS)
     for b in range(blocks):
-        part = items.select("item_id", "text").where("text IS NOT NULL").where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
-        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id").collect() if len(r["text"].split()) >= least]
+        part = kept.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b)
+        rows = [(r["item_id"], r["text"]) for r in part.orderBy("item_id").collect() if len([w for w in map(word, r["text"].lower().split()) if w]) >= least]
         if rows:
             found = _block_leaks(d, rows, least)
             out = found if out is None else out.unionByName(found)
-    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long")
+    return out if out is not None else docs.sparkSession.createDataFrame([], "doc_id long, item_id long, cosine double, common double, answer double, run int")
+
+
+def leaked_items(docs: DataFrame, items: DataFrame, least: int = BLOCK) -> DataFrame:
+    """doc_id, item_id: documents (doc_id, text) with ``least`` or more successive words of an item (item_id, text)."""
+    return leak_candidates(docs, items, least).where(F.col("run") >= least).select("doc_id", "item_id")

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from embertrace.llm.abuse import scored
 from embertrace.llm.encoding import garbled
 from embertrace.llm.language import identified, label_cases
-from embertrace.llm.leaks import leaked_items
+from embertrace.llm.leaks import BLOCK, PARAPHRASE, leak_candidates, leaked_items
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps, overlap_records
 from embertrace.llm.packing import CAPACITY, packed
@@ -150,12 +150,19 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
     return label_cases(identified(e, "idx", "key", "lang"), e, "idx", "lang").withColumnRenamed("id", "idx")
 
 
+def p9_passages(spark: SparkSession, root: str) -> DataFrame:
+    """doc_id, item_id, kind: verbatim (twelve or more successive words) or paraphrase, with the shares that were found."""
+    c = leak_candidates(table(spark, root, "documents"), table(spark, root, "eval_items"))
+    kind = F.when(F.col("run") >= BLOCK, "verbatim").when((F.col("common") >= PARAPHRASE) & (F.col("answer") >= PARAPHRASE), "paraphrase")
+    return c.select("doc_id", "item_id", kind.alias("kind"), F.round("cosine", 3).alias("cosine"), F.round("common", 6).alias("common"), F.round("answer", 6).alias("answer")).where("kind IS NOT NULL")
+
+
 QUERIES = {
     "p4_found": p4_found, "p4_segments": p4_segments,
     "p8_containers": p8_containers, "p8_fill": p8_fill,
     "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
-    "p9_found": p9_found, "p9_report": p9_report,
+    "p9_found": p9_found, "p9_passages": p9_passages, "p9_report": p9_report,
     "p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
     "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split,

@@ -67,6 +67,58 @@ def test_leaks_after_a_replaced_word(spark):
     assert [tuple(x) for x in K.leaked_items(d, i).collect()] == [(1, 7)]
 
 
+def test_a_wrong_word_hides_no_run_wherever_it_stands(spark):
+    words = [f"{x}{y}" for x in ("amber", "cedar", "delta", "flint", "gravel") for y in ("fall", "moor", "ness", "port", "wick")]
+    docs = []
+    for wrong in range(25):
+        for shift in (0, 7, 20, 31):
+            docs.append((wrong * 100 + shift, " ".join(["filler"] * shift + words[:wrong] + ["zzzzzz"] + words[wrong + 1 : 21])))
+    d, i = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words)), (8, " ".join(words[::-1]))], "item_id long, text string")
+    assert {x["doc_id"] for x in K.leaked_items(d, i).collect()} == {i for i, _ in docs if max(i // 100, 20 - i // 100) >= 12}
+
+
+def test_latent_candidates_find_short_runs_without_any_seed(spark):
+    r = random.Random(31)
+    items = [(k, " and then ".join(sentence(r) for _ in range(6))) for k in range(60)]
+    docs, want = [], set()
+    for d in range(200):
+        k = r.randrange(60)
+        ws = items[k][1].split()
+        at = r.randrange(len(ws) - 12)
+        around = " ".join(sentence(r) for _ in range(5)).split()
+        cut = r.randrange(len(around))
+        docs.append((d, " ".join(around[:cut] + ws[at : at + 12] + around[cut:])))
+        want.add((d, k))
+    got = K.leak_candidates(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    found = {(x["doc_id"], x["item_id"]) for x in got}
+    assert len(want & found) >= 0.9 * len(want) and all(x["cosine"] >= K.COSINE for x in got if x["cosine"])
+
+
+def test_common_subsequences_against_the_textbook():
+    r = np.random.default_rng(4)
+    a, b = r.integers(0, 9, (50, K.SPAN)), r.integers(0, 9, (50, K.SPAN))
+    got = K.common_length(K.equal_bits(a[:, :, None] == b[:, None, :]))
+    for x, y, n in zip(a.tolist(), b.tolist(), got.tolist(), strict=True):
+        row = [0] * (K.SPAN + 1)
+        for c in x:
+            last = row
+            row = [0]
+            for j, e in enumerate(y):
+                row.append(last[j] + 1 if c == e else max(row[-1], last[j + 1]))
+        assert row[-1] == n
+    lines = K.sheared(a[:, :, None] == b[:, None, :])
+    c, x, g = np.nonzero(lines)
+    assert len(c) == (a[:, :, None] == b[:, None, :]).sum() and (a[c, x] == b[c, x - g + K.SPAN - 1]).all()
+
+
+def test_paraphrases_keep_their_answer(spark):
+    words = [f"{x}{y}" for x in ("amber", "cedar", "delta", "flint", "gravel") for y in ("fall", "moor", "ness", "port", "wick", "mere", "dale")]
+    para = [w for k, w in enumerate(words) for w in ([w, "indeed"] if k % 4 == 0 else [w])]
+    docs = [(1, " ".join(para)), (2, " ".join(words)), (3, " ".join(f"other{k}" for k in range(40)))]
+    got = {(x["doc_id"], x["item_id"]): x for x in K.leak_candidates(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(7, " ".join(words))], "item_id long, text string")).collect()}
+    assert set(got) == {(1, 7), (2, 7)} and got[2, 7]["run"] >= 12 and got[1, 7]["run"] < 12 and got[1, 7]["common"] >= 0.6 and got[1, 7]["answer"] >= 0.6
+
+
 def test_leaks_of_empty_tables(spark):
     d, i = spark.createDataFrame([(1, "a b c")], "doc_id long, text string"), spark.createDataFrame([(1, "one two three four five six seven eight nine ten eleven twelve")], "item_id long, text string")
     assert K.leaked_items(d, i.where("false")).count() == 0 and K.leaked_items(d.where("false"), i).count() == 0 and K.leaked_items(d, i).count() == 0
