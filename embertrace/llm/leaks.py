@@ -10,7 +10,7 @@
 3. A second pass projects every passage into that space; the items' passages within cosine ``COSINE`` are its candidates, and
    nothing else is.
 4. Each candidate gets its longest common subsequence (gaps allowed) and the share of the item passage's rarest words (its
-   answer) that the document passage holds.  Candidates with ``LEAST_COMMON`` words in common order are searched for the longest run
+   answer) that the document passage holds.  Candidates with ``ALIKE`` words in common order are searched for the longest run
    of successive item words, where a misspelt word still counts and inserted time or quote marks don't interrupt; every seed
    that lies in no run tried before is tried.
 
@@ -32,8 +32,7 @@ BLOCK = 12
 SPAN, STRIDE = 3 * BLOCK, 2 * BLOCK
 RANK, SKETCH = 128, 32
 COSINE = 0.35
-LEAST_COMMON = 6
-ALIKE = 5  # equal words that a run shows on one diagonal within BLOCK words
+ALIKE = 8  # words of a run's BLOCK that are spelled right
 ANSWER = 5
 PARAPHRASE = 0.6
 ITEM_WORDS = 4_000_000
@@ -178,18 +177,41 @@ def common_length(bits: np.ndarray) -> np.ndarray:
     return SPAN - np.bitwise_count(v & np.uint64((1 << SPAN) - 1)).astype(np.int64)
 
 
-def sheared(equal: np.ndarray) -> np.ndarray:
-    """(candidate, document word, diagonal): equality along diagonals; the item's word is word - diagonal + SPAN - 1."""
-    wide = np.zeros((len(equal), SPAN, 2 * SPAN), dtype=np.int8)
+def diagonals(equal: np.ndarray) -> np.ndarray:
+    """(candidate, diagonal): the document words that equal the item's along the diagonal, as bits; the item's word is
+    word - diagonal + SPAN - 1."""
+    wide = np.zeros((len(equal), SPAN, 2 * SPAN), dtype=np.uint8)
     wide[:, :, :SPAN] = equal[:, :, ::-1]
-    return wide.reshape(len(equal), -1)[:, : SPAN * (2 * SPAN - 1)].reshape(len(equal), SPAN, 2 * SPAN - 1)
-
-
-def strong(diagonals: np.ndarray) -> np.ndarray:
-    """Where BLOCK successive places of a diagonal hold ALIKE equal words or more: (candidate, diagonal)."""
-    c = np.cumsum(diagonals, axis=1, dtype=np.int8)
-    c[:, BLOCK:] -= c[:, :-BLOCK].copy()
-    return (c >= ALIKE).any(axis=1)
+    lines = wide.reshape(len(equal), -1)[:, : SPAN * (2 * SPAN - 1)].reshape(len(equal), SPAN, 2 * SPAN - 1)
+    out = np.zeros((len(equal), 2 * SPAN - 1), dtype=np.uint64)
+    for byte in range(-(-SPAN // 8)):
+        part = np.zeros((len(equal), 2 * SPAN - 1), dtype=np.uint8)
+        for k, x in enumerate(range(8 * byte, min(8 * byte + 8, SPAN))):
+            part |= lines[:, x] << np.uint8(k)
+        out |= part.astype(np.uint64) << np.uint64(8 * byte)
+    return out
+
+
+def runs(lines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(candidates with BLOCK equal words in a row; (candidate, diagonal) where BLOCK successive places hold ALIKE equal words or
+    more on the diagonal and its neighbours, as a word torn apart or an inserted mark moves a run by one)."""
+    row, n = lines, 1
+    while n < BLOCK:
+        step = min(n, BLOCK - n)
+        row = row & (row >> np.uint64(step))
+        n += step
+    whole = row.any(axis=1)
+    band = lines.copy()
+    band[:, 1:] |= lines[:, :-1]
+    band[:, :-1] |= lines[:, 1:]
+    on = np.zeros(lines.shape, dtype=bool)
+    c, g = np.nonzero((np.bitwise_count(band) >= ALIKE) & ~whole[:, None])
+    some = band[c, g]
+    for x in range(SPAN - BLOCK + 1):
+        on[c, g] |= np.bitwise_count((some >> np.uint64(x)) & np.uint64((1 << BLOCK) - 1)) >= ALIKE
+    on[:, 1:] |= on[:, :-1].copy()
+    on[:, :-1] |= on[:, 1:].copy()
+    return whole, on
 
 
 def near(a: str, b: str) -> bool:
@@ -331,25 +353,28 @@ def _block_leaks(docs: DataFrame, items: list[tuple[int, str]], least: int) -> D
                         equal = mine[:, :, None] == written[p][:, None, :]
                         bits = equal_bits(equal)
                         common = common_length(bits)
-                        kept = np.flatnonzero(common >= np.minimum(LEAST_COMMON, size[p]))
+                        kept = np.flatnonzero(common >= np.minimum(ALIKE, size[p]))
                         if not len(kept):
                             continue
                         w, p, here, common, equal = w[kept], p[kept], here[kept], common[kept], equal[kept]
                         held = np.bitwise_or.reduce(bits[kept], axis=1) & answers[p]
                         answer = np.bitwise_count(held) / np.maximum(np.bitwise_count(answers[p]), 1)
-                        lines = sheared(equal)
-                        on = strong(lines)
+                        lines = diagonals(equal)
+                        whole, on = runs(lines)
+                        some = on.any(axis=1)
                         share = common / np.maximum(size[p], 1)
-                        for c in np.flatnonzero(on.any(axis=1) | ((share >= PARAPHRASE) & (answer >= PARAPHRASE))).tolist():
+                        for c in np.flatnonzero(whole | some | ((share >= PARAPHRASE) & (answer >= PARAPHRASE))).tolist():
                             d, k = int(doc[w[c]]), int(of_item[p[c]])
                             b = best.setdefault((d, k), [0.0, 0.0, 0.0, 0])
                             if (share[c], answer[c]) > (b[1], b[2]):
                                 b[:3] = float(here[c]), float(share[c]), float(answer[c])
-                            if b[3] >= least or not on[c].any():
+                            if whole[c] and least <= BLOCK:
+                                b[3] = BLOCK
+                            if b[3] >= least or not (some[c] or whole[c]):
                                 continue
                             if d not in spelling:
                                 spelling[d] = vocabulary.spell(texts[places[d]])
-                            x, line = np.nonzero(lines[c] * on[c])
+                            line, x = np.nonzero((lines[c, :, None] >> np.arange(SPAN, dtype=np.uint64)) & np.uint64(1) & (on[c] | whole[c])[:, None])
                             x0, y0 = int(starts[w[c]] - bounds[d]), int(item_at[p[c]])
                             seeds = [(x0 + i, y0 + i - g + SPAN - 1) for i, g in zip(x.tolist(), line.tolist(), strict=True)]
                             b[3] = max(b[3], longest_run(spelling[d], spelled[k], seeds, least, tried.setdefault((d, k), set())))
