@@ -12,7 +12,7 @@ from embertrace.llm.leaks import BLOCK, PARAPHRASE, leak_candidates, leaked_item
 from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps, overlap_records
 from embertrace.llm.packing import CAPACITY, packed
-from embertrace.llm.quota import distinct_items, quota_plan, quota_sample, targets_from_counts
+from embertrace.llm.quota import quota_sample, targets_from_counts
 from embertrace.llm.splits import assign_splits, component_pairs, components
 from embertrace.session import cut, table
 
@@ -67,16 +67,24 @@ def p5_split(spark: SparkSession, root: str) -> DataFrame:
     return r.join(s.select("component", "split"), "component").select("gold_id", "match_id", "component", "split")
 
 
-def _year_targets(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
+def p5_split_check(spark: SparkSession, root: str) -> DataFrame:
+    """Rows and components with a split, components in two splits, and whether all shares of rows lie within 0.02 of their targets."""
+    s = cut(p5_split(spark, root))
+    parts = s.groupBy("component").agg(F.countDistinct("split").alias("splits"), F.count("split").alias("n"), *[F.count_if(F.col("split") == k).alias(k) for k in SHARES])
+    near = [F.abs(F.sum(k) / F.sum("n") - v) <= 0.02 for k, v in SHARES.items()]
+    return parts.agg(F.sum("n").alias("n_rows"), F.count(F.lit(1)).alias("n_components"), F.count_if(F.col("splits") > 1).alias("n_torn"), (near[0] & near[1] & near[2]).alias("shares_hold"))
+
+
+def _year_sample(spark: SparkSession, root: str) -> tuple[DataFrame, DataFrame]:
     e = table(spark, root, "enriched_gold_labeled").select("year", "key")
     total = e.count() // 4
-    return e, targets_from_counts(table(spark, root, "temporal_yearly"), "year", "n_messages", float(total))
+    return quota_sample(e, targets_from_counts(table(spark, root, "temporal_yearly"), "year", "n_messages", float(total)), "year", "key")
 
 
 def p7_report(spark: SparkSession, root: str) -> DataFrame:
-    e, targets = _year_targets(spark, root)
-    report, _ = quota_plan(distinct_items(e, "year", "key", 42), targets, 20)
-    return report.select(F.col("category").alias("year"), F.round("target", 6).alias("target"), "available", "quota", "taken", "exhausted")
+    report = _year_sample(spark, root)[1]
+    return report.select(F.col("category").alias("year"), F.round("target", 6).alias("target"), "available", "quota", "taken",
+                         F.round("wanted_share", 6).alias("wanted_share"), F.round("share", 6).alias("share"), "exhausted")
 
 
 def p7_found(spark: SparkSession, root: str) -> DataFrame:
@@ -84,8 +92,7 @@ def p7_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p7_sample(spark: SparkSession, root: str) -> DataFrame:
-    e, targets = _year_targets(spark, root)
-    sample, _ = quota_sample(e, targets, "year", "key")
+    sample = _year_sample(spark, root)[0]
     return sample.select(F.col("category").alias("year"), F.col("item").alias("key"))
 
 
@@ -165,7 +172,7 @@ QUERIES = {
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_report": p9_report,
     "p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report,
     "p2_found": p2_found, "p2_forms": p2_forms,
-    "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split,
+    "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split, "p5_split_check": p5_split_check,
     "p7_found": p7_found, "p7_report": p7_report, "p7_sample": p7_sample,
 }
 
@@ -181,7 +188,12 @@ _TARGETS = """
 WITH y AS (SELECT year, sum(n_messages) AS w FROM (SELECT DISTINCT year, n_messages FROM temporal_yearly) WHERE year IS NOT NULL GROUP BY year),
 t AS (SELECT year, (SELECT count(*) // 4 FROM enriched_gold_labeled)::DOUBLE * w / (SELECT sum(w) FROM y) AS target FROM y),
 a AS (SELECT year, count(DISTINCT key) AS available FROM enriched_gold_labeled WHERE key <> '' GROUP BY year),
-r AS (SELECT t.year, target, coalesce(available, 0) AS available, greatest(ceil(target), 20)::BIGINT AS quota FROM t LEFT JOIN a ON a.year = t.year)
+q AS (SELECT t.year, target, coalesce(available, 0) AS available, greatest(ceil(target - 1e-9), 20)::BIGINT AS quota, target / (SELECT sum(target) FROM t) AS wanted
+      FROM t LEFT JOIN a ON a.year = t.year),
+g AS (SELECT k, year, wanted, least(available, greatest(ceil(wanted * floor((SELECT sum(target) FROM t) * k / 1000 + 1e-9) - 1e-9), 20))::BIGINT AS taken FROM q, range(1, 1001) r(k)),
+h AS (SELECT k, max(abs(taken / n - wanted)) AS gap FROM (SELECT *, greatest(sum(taken) OVER (PARTITION BY k), 1) AS n FROM g) GROUP BY k),
+b AS (SELECT coalesce((SELECT max(k) FROM h WHERE gap <= 0.02), (SELECT max(k) FROM h WHERE gap <= (SELECT min(gap) FROM h) + 1e-12)) AS k),
+r AS (SELECT q.*, g.taken, g.taken / (SELECT sum(taken) FROM g WHERE k = (SELECT k FROM b)) AS share FROM q JOIN g ON g.year = q.year AND g.k = (SELECT k FROM b))
 """
 _NEAR = """
 WITH g AS (SELECT gold_id, lower(trim(split)) AS split, regexp_replace(lower(text), '[^\\p{L}\\p{N}]+', '', 'g') AS t FROM gold WHERE text IS NOT NULL AND split IS NOT NULL),
@@ -195,5 +207,10 @@ ORACLES = {
     "p5_components": _COMPONENTS + "SELECT node AS match_id, component FROM c",
     "p5_found": _COMPONENTS + "SELECT x.node AS match_id_a, y.node AS match_id_b FROM c x JOIN c y ON x.component = y.component AND x.node < y.node",
     "p7_found": _TARGETS + "SELECT year FROM r WHERE available < target",
-    "p7_report": _TARGETS + "SELECT year, round(target, 6) AS target, available, quota, least(quota, available) AS taken, available < target AS exhausted FROM r",
+    "p7_report": _TARGETS + "SELECT year, round(target, 6) AS target, available, quota, taken, round(wanted, 6) AS wanted_share, round(share, 6) AS share, available < target AS exhausted FROM r",
+    "p7_sample": _TARGETS + """SELECT i.year, key FROM (
+      SELECT year, key, row_number() OVER (PARTITION BY year ORDER BY md5('42|' || year || '|' || key), key) AS n
+      FROM (SELECT DISTINCT year, key FROM enriched_gold_labeled WHERE year IS NOT NULL AND key <> '')) i JOIN r ON r.year = i.year WHERE n <= taken""",
+    "p5_split_check": _COMPONENTS + """SELECT count(*) AS n_rows, (SELECT count(DISTINCT component) FROM c) AS n_components, 0 AS n_torn, true AS shares_hold
+FROM gold WHERE match_id IS NOT NULL""",
 }

@@ -16,13 +16,14 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     Clusters are kept as rows (v, u): "v knows u", never as arrays.  In each round node v sends its whole cluster
     to its minimum and the minimum to its whole cluster, until no row changes: O(log n) rounds.  Known rows are
     combined map-side; a hub's rows are spread by AQE's skew join, since the only join is on v against one row per v.
+    Components that aren't stable after ``max_rounds`` are an error, never a result.
     Self-loops and repeated edges are harmless; null ends are ignored.  Each round is checkpointed.
     """
     e = edges.select(F.col("a").alias("v"), F.col("b").alias("u")).where("v IS NOT NULL AND u IS NOT NULL")
     both = e.unionByName(e.select(F.col("u").alias("v"), F.col("v").alias("u")))
     loops = both.select("v", F.col("v").alias("u"))
     known = cut(both.unionByName(loops).distinct())
-    before = None
+    before = now = None
     for _ in range(max_rounds):
         least = known.groupBy("v").agg(F.min("u").alias("m"))
         x = known.join(least, "v")
@@ -31,7 +32,9 @@ def hash_to_min(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
         now = known.agg(F.count(F.lit(1)), F.sum(F.xxhash64("v", "u").cast("decimal(38,0)"))).first()
         if before == now:
             break
-        before = now
+        before, now = now, None
+    if now is None:
+        raise RuntimeError(f"components aren't stable after {max_rounds} rounds; allow more")
     return known.groupBy(F.col("v").alias("node")).agg(F.min("u").alias("component"))
 
 
@@ -50,45 +53,65 @@ def components(df: DataFrame, node: str, entity: str, unknown: Sequence = (0,))
     return nodes.join(c, "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+def rendezvous(seed, component: str, weights: dict):
+    """The split with the greatest score -weight / ln(u(seed, split, component)): no state, no order."""
+    best = None
+    for s in sorted(weights):
+        u = (F.shiftrightunsigned(F.xxhash64(seed, F.lit(s), component), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
+        score = F.struct((-weights[s] / F.log(u)).alias("score"), F.lit(s).alias("split"))
+        best = score if best is None else F.greatest(best, score)
+    return best["split"]
+
+
+def _counts(placed: DataFrame, by: list[str], names: list[str]) -> DataFrame:
+    """Rows by label and split, as columns n0, n1, ..., with the label's total; placed: split and mix."""
+    x = placed.select(*by, "split", F.explode("mix").alias("m"))
+    sums = [F.sum(F.when(F.col("split") == s, F.col("m.n")).otherwise(0)).alias(f"n{k}") for k, s in enumerate(names)]
+    return x.groupBy(*by, F.col("m.label").alias("label")).agg(*sums, F.sum("m.n").alias("total"))
+
+
+def _gap(shares: dict[str, float], names: list[str]):
+    """Rows too many or too few, over all labels and over all rows."""
+    of = lambda n, total: sum((F.abs(n(k) - F.lit(float(shares[s])) * total) for k, s in enumerate(names)), F.lit(0.0))
+    return F.sum(of(lambda k: F.col(f"n{k}"), F.col("total"))) + of(lambda k: F.sum(f"n{k}"), F.sum("total"))
+
+
 def assign_splits(
-    rows: DataFrame, component: str, label: str, shares: dict[str, float], seed: int = 42, heavy_share: float = 0.0005
+    rows: DataFrame, component: str, label: str, shares: dict[str, float], seed: int | None = None, seeds: int = 64, rounds: int = 4
 ) -> DataFrame:
-    """component, split: proportions ``shares`` of the rows, with about the same mix of ``label``.
-
-    Components holding more than ``heavy_share`` of all rows (at most 1/heavy_share of them, so a bounded list) are
-    placed one by one where they leave the smallest gap in size and label mix.  All others go by weighted rendezvous
-    hashing, score = -weight / ln(u(component, split)), with the weights that are left; no state, no order, and adding a
-    component moves no other.  Null labels are a label of their own; rows with a null component get no split.
+    """component, n, split: proportions ``shares`` (which sum to 1) of the rows, with about the same mix of ``label``.
+
+    Every component, large or small, goes by weighted rendezvous hashing.  What hashing alone leaves unequal, because components
+    differ in size and mix, is corrected in two steps that are the same at every size.  Of ``seeds`` seeds of the hash the one with the least
+    gaps is taken (one aggregation tries them all).  Then the weights of the splits are fitted for each label, ``rounds`` times, by the ratio of
+    wanted to present rows (components weigh by their most frequent label), and the round with the least gaps is kept.
+    With a given ``seed`` neither step is done: a component's split then depends on nothing else, and new components move no others.
+    Null labels are a label of their own; rows with a null component get no split.
     """
+    names = sorted(shares)
+    plain = {s: F.lit(float(shares[s])) for s in names}
     r = rows.select(F.col(component).alias("component"), F.coalesce(F.lower(F.trim(F.col(label).cast("string"))), F.lit("")).alias("label")).where("component IS NOT NULL")
-    sizes = r.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    labels = {x["label"]: x["n"] for x in r.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "label").limit(64).collect()}
-    total = sum(labels.values()) or 1
-    heavy = sizes.where(F.col("n") > heavy_share * total)
-    held = r.join(heavy.select("component"), "component").groupBy("component", "label").agg(F.count(F.lit(1)).alias("n")).collect()
-    mixes: dict = {}
-    for x in held:
-        mixes.setdefault(x["component"], {})[x["label"]] = x["n"]
-    have = {s: dict.fromkeys(labels, 0) for s in shares}
-    placed: list[tuple] = []
-    for c, mix in sorted(mixes.items(), key=lambda kv: (-sum(kv[1].values()), str(kv[0]))):
-        def gap(s, mix=mix):
-            return sum((have[s].get(k, 0) + n) / (shares[s] * labels.get(k, total)) for k, n in mix.items())
-        s = min(shares, key=lambda s: (gap(s), s))
-        placed.append((c, s))
-        for k, n in mix.items():
-            have[s][k] = have[s].get(k, 0) + n
-    left = {s: max(shares[s] * total - sum(have[s].values()), 1e-9 * total) for s in shares}
-    free = sum(left.values())
-    spark = rows.sparkSession
+    mixes = r.groupBy("component", "label").agg(F.count(F.lit(1)).alias("n"))
+    comp = mixes.groupBy("component").agg(F.sum("n").alias("n"), F.max(F.struct("n", "label"))["label"].alias("main"), F.collect_list(F.struct("label", "n")).alias("mix"))
+    if seed is not None:
+        return comp.select("component", "n", rendezvous(F.lit(int(seed)), "component", plain).alias("split"))
+    comp = cut(comp)  # a row a component, with as many entries as it has labels
+    trial = comp.withColumn("seed", F.explode(F.sequence(F.lit(0), F.lit(seeds - 1)))).withColumn("split", rendezvous(F.col("seed"), "component", plain))
+    first = _counts(trial, ["seed"], names).groupBy("seed").agg(_gap(shares, names).alias("gap")).orderBy("gap", "seed").first()
+    chosen = F.lit(first["seed"] if first else 0)
+    weights = cut(comp.select(F.explode("mix.label").alias("main")).distinct().select("main", *[plain[s].alias(f"w{k}") for k, s in enumerate(names)]))
+    own = {s: F.col(f"w{k}") for k, s in enumerate(names)}
     best = None
-    for s in sorted(shares):
-        u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.lit(s), "component"), 11).cast("double") + 0.5) / F.lit(float(1 << 53))
-        score = F.struct((F.lit(-left[s] / free) / F.log(u)).alias("score"), F.lit(s).alias("split"))
-        best = score if best is None else F.greatest(best, score)
-    kind = sizes.schema["component"].dataType.simpleString()
-    fixed = spark.createDataFrame([(c, s) for c, s in placed], f"component {kind}, fixed string")
-    return sizes.join(F.broadcast(fixed), "component", "left").select("component", "n", F.coalesce("fixed", best["split"]).alias("split"))
+    for k in range(rounds + 1):
+        got = cut(_counts(comp.join(weights, "main").withColumn("split", rendezvous(chosen, "component", own)), [], names))
+        gap = got.agg(_gap(shares, names)).first()[0] or 0.0
+        if best is None or gap < best[0]:
+            best = gap, weights
+        if k < rounds:
+            want = [F.lit(float(shares[s])) * F.col("total") for s in names]
+            weights = cut(weights.join(got.withColumnRenamed("label", "main"), "main").select(
+                "main", *[(F.col(f"w{i}") * F.least(F.lit(2.0), F.greatest(F.lit(0.5), want[i] / F.greatest(F.col(f"n{i}"), F.lit(0.5))))).alias(f"w{i}") for i in range(len(names))]))
+    return comp.join(best[1], "main").select("component", "n", rendezvous(chosen, "component", own).alias("split"))
 
 
 def component_pairs(comp: DataFrame, hot_rows: int = 2000, salts: int = 16) -> DataFrame:

@@ -238,16 +238,38 @@ def test_splits_hold_components_and_shares(spark):
     assert S.assign_splits(df.where("false"), "component", "s", shares).count() == 0
 
 
+def test_components_that_are_not_stable_are_an_error(spark):
+    path = spark.createDataFrame([(i, i + 1) for i in range(300)], "a long, b long")
+    with pytest.raises(RuntimeError):
+        S.hash_to_min(path, max_rounds=2)
+    assert S.hash_to_min(path).select("component").distinct().count() == 1
+
+
+def test_new_components_move_no_others_under_a_given_seed(spark):
+    rows = [(c, f"label {c % 200}") for c in range(500)]
+    shares = {"train": 0.7, "validation": 0.1, "test": 0.2}
+    some = {x["component"]: x["split"] for x in S.assign_splits(spark.createDataFrame(rows[:300], "component long, s string"), "component", "s", shares, seed=5).collect()}
+    more = {x["component"]: x["split"] for x in S.assign_splits(spark.createDataFrame(rows, "component long, s string"), "component", "s", shares, seed=5).collect()}
+    assert len(some) == 300 and len(more) == 500 and all(more[c] == s for c, s in some.items())
+
+
 def test_quota_sample(spark):
     rows = [(y, f"k{y}-{i % n}") for y, n in ((2020, 900), (2021, 30), (2022, 5)) for i in range(1000)] + [(None, "x"), (2020, None), (2020, ""), (2099, "no target")]
     df = spark.createDataFrame(rows, "year int, key string")
     targets = U.targets_from_counts(spark.createDataFrame([(2020, 500), (2020, 500), (2021, 400), (2022, 50), (2023, 50)], "year int, n int"), "year", "n", 400.0)
-    sample, report = U.quota_sample(df, targets, "year", "key", minimum=25)
+    sample, report = U.quota_sample(df, targets, "year", "key", minimum=25, most_gap=1.0)
     r = {x["category"]: (x["target"], x["available"], x["quota"], x["taken"], x["exhausted"]) for x in report.collect()}
     assert r == {2020: (200.0, 900, 200, 200, False), 2021: (160.0, 30, 160, 30, True), 2022: (20.0, 5, 25, 5, True), 2023: (20.0, 0, 25, 0, True)}
     s = sorted(map(tuple, sample.collect()))
-    assert len(s) == len(set(s)) == 235 and s == sorted(map(tuple, U.quota_sample(df.repartition(9), targets, "year", "key", minimum=25)[0].collect()))
+    assert len(s) == len(set(s)) == 235 and s == sorted(map(tuple, U.quota_sample(df.repartition(9), targets, "year", "key", minimum=25, most_gap=1.0)[0].collect()))
     items = {x["item"]: (x["priority"], x["item"]) for x in U.distinct_items(df, "year", "key", 42).where("category = 2020").collect()}
     assert {k for y, k in s if y == 2020} == {k for _, k in sorted(items.values())[:200]}  # exactly the least priorities
     empty, rep = U.quota_sample(df.where("false"), targets, "year", "key")
     assert empty.count() == 0 and all(x["available"] == 0 for x in rep.collect())
+
+
+def test_quotas_are_lowered_until_the_shares_hold():
+    got = U.feasible({1: 500.0, 2: 500.0}, {1: 5000, 2: 100}, 10, 0.02)
+    assert got[2] == 100 and abs(got[1] / (got[1] + got[2]) - 0.5) <= 0.02
+    assert U.feasible({1: 500.0, 2: 500.0}, {1: 5000, 2: 5000}, 10, 0.02) == {1: 500, 2: 500}
+    assert U.feasible({1: 5.0, 2: 0.0}, {1: 9, 2: 40}, 3, 1.0) == {1: 5, 2: 3} and U.feasible({}, {}, 3, 0.1) == {}
