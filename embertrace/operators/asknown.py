@@ -4,16 +4,17 @@ A fact row is valid over ``[valid_from, valid_to)`` and known from ``known_at``
 (null: from ``valid_from``).  It *applies* at a moment t when it is both known and valid,
 that is from ``enters = greatest(known_at, valid_from)`` up to ``valid_to``.
 
-The operator never looks at facts entered after an event:
+Time is cut into periods.  Two tables are materialised in the shared folder:
 
-* time is cut into periods of ``period_days``;
-* the *snapshot* of a period holds the facts that apply at the period's first moment;
-* the *change log* of a period holds the facts that enter within the period;
-* an event is joined to the timeline row of its own period (the snapshot before it and the
-  changes after that snapshot) and replays the changes up to its own moment.
+* the *snapshots*: for every period in which events occur, the facts that apply at its first moment.  A fact is left out if
+  another of the same snapshot goes before it and lasts as long, for it can't win at any later moment;
+* the *change log*: the facts that enter within a period, each in the one period it enters.
 
-Timeline rows are built for the periods in which events occur only, so a far-away ``valid_to`` costs nothing.
-The event side needs no aggregation afterwards: one equi-join, then array functions.
+An event is joined to the snapshot of its own period, the last one before it, and replays only the changes between that
+snapshot and itself.  It never sees a fact that entered later.  Both joins are equi-joins on (keys, period).
+
+The length of a period starts at ``period_days`` and is halved until no period's log has more than ``MOST_CHANGES`` changes (or a
+period is an hour), which bounds the array that an event replays; the result doesn't depend on it.
 """
 
 from __future__ import annotations
@@ -22,31 +23,57 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-EPOCH = "DATE'1970-01-01'"
+from embertrace.session import cut
 
+MOST_CHANGES = 1000
+HOUR = 3600
+_BEST = ("_from", "_known", "_value")
 
-def _period(t, days: int):
-    return F.floor(F.datediff(t.cast("date"), F.expr(EPOCH)) / F.lit(days)).cast("int")
 
+def _micros(t):
+    return F.timestamp_diff("MICROSECOND", F.expr("TIMESTAMP_NTZ'1970-01-01 00:00:00'"), t)  # of the wall clock, whatever the session's zone
 
-def timelines(facts: DataFrame, periods: DataFrame, keys: Sequence[str], period_days: int) -> DataFrame:
-    """One row per (keys, period): the facts of its snapshot and of its change log, as one array.
 
-    ``facts`` has the columns of ``as_known_join``'s internal form (keys, _from, _to, _known, _value).
-    The array is bounded by the facts that apply at one moment plus those entering in one period.
-    """
-    f = facts.withColumn("_enters", F.greatest("_known", "_from")).where("_enters < _to")
-    lo, hi = periods.agg(F.min("_period"), F.max("_period")).first()
-    if lo is None:
-        lo, hi = 0, -1
-    first, last = F.greatest(_period(F.col("_enters"), period_days), F.lit(lo)), F.least(_period(F.col("_to"), period_days), F.lit(hi))
-    spread = f.withColumn("_first", first).withColumn("_last", last).where("_first <= _last")
-    spread = spread.withColumn("_period", F.explode(F.sequence("_first", "_last"))).drop("_first", "_last")
-    start = F.date_add(F.expr(EPOCH), F.col("_period") * period_days).cast("timestamp_ntz")
-    joined = spread.join(periods, [*keys, "_period"], "left_semi").withColumn("_in_snapshot", (F.col("_enters") <= start) & (F.col("_to") > start))
-    return joined.where(F.col("_in_snapshot") | (F.col("_enters") > start)).groupBy(*keys, "_period").agg(
-        F.collect_set(F.struct("_from", "_known", "_value", "_enters", "_to")).alias("_line"))
+def _period(t, length: int):
+    size = F.lit(length * 1_000_000)
+    return ((_micros(t) - F.pmod(_micros(t), size)) / size).cast("long")
+
+
+def _start(length: int):
+    return F.expr(f"TIMESTAMP_NTZ'1970-01-01 00:00:00' + make_dt_interval(0, 0, 0, cast(_period * {length} AS decimal(18, 6)))")
+
+
+def period_length(facts: DataFrame, keys: Sequence[str], days: int, most: int = MOST_CHANGES) -> int:
+    """Seconds of a period, so that no (keys, period) has more than ``most`` changes."""
+    length = days * 24 * HOUR
+    while length > HOUR:
+        n = facts.groupBy(*keys, _period(F.col("_enters"), length).alias("_period")).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0]
+        if n is None or n <= most:
+            break
+        length = max(HOUR, length // 2)
+    return length
+
+
+def snapshots(facts: DataFrame, periods: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
+    """keys, _period, _held: the facts (of ``_BEST``, _enters and _to) that apply at the first moment of each of ``periods`` (keys, _period)."""
+    f = facts.withColumn("_first", _period(F.col("_enters"), length)).withColumn("_last", _period(F.col("_to"), length))
+    if keys:
+        x = f.join(periods, list(keys)).where("_period BETWEEN _first AND _last")
+    else:  # one calendar of event periods for all facts
+        calendar = [r["_period"] for r in periods.select("_period").distinct().orderBy("_period").collect()]
+        x = f.withColumn("_period", F.explode(F.filter(F.lit(calendar).cast("array<bigint>"), lambda p: (p >= F.col("_first")) & (p <= F.col("_last"))))) if calendar else f.withColumn("_period", F.lit(0).cast("long")).where("false")
+    x = x.where((F.col("_enters") <= _start(length)) & (F.col("_to") > _start(length)))
+    before = Window.partitionBy(*keys, "_period").orderBy(*[F.desc(c) for c in _BEST]).rowsBetween(Window.unboundedPreceding, -1)
+    x = x.withColumn("_longest", F.max("_to").over(before)).where("_longest IS NULL OR _longest < _to")
+    return x.groupBy(*keys, "_period").agg(F.collect_list(F.struct(*_BEST, "_enters", "_to")).alias("_held"))
+
+
+def change_log(facts: DataFrame, keys: Sequence[str], length: int) -> DataFrame:
+    """keys, _period, _changes: the facts that enter within each period, after its first moment."""
+    inside = facts.withColumn("_period", _period(F.col("_enters"), length)).where(F.col("_enters") > _start(length))
+    return inside.groupBy(*keys, "_period").agg(F.collect_list(F.struct(*_BEST, "_enters", "_to")).alias("_changes"))
 
 
 def as_known_join(
@@ -72,7 +99,8 @@ def as_known_join(
     same ``valid_from`` the one known last wins, then the greatest value.  Events keep all their rows (repeats too) and
     columns; if ``events`` already has a column ``out``, it is replaced.  Empty tables give empty or all-null results.
 
-    Scale: an event period is hot when all events are recent; ``salts`` copies of the (small) timeline rows spread it.
+    Scale: ``events`` is read twice, once for its periods, so pass a table or a cut plan.  An event period is hot when all events
+    are recent; ``salts`` copies of the (small) snapshots and logs spread it.
     """
     keys = list(keys)
     to = F.col(valid_to) if isinstance(valid_to, str) else valid_to
@@ -84,13 +112,18 @@ def as_known_join(
         F.coalesce(F.col(known_at), F.col(valid_from)).cast("timestamp_ntz").alias("_known") if known_at else F.col(valid_from).cast("timestamp_ntz").alias("_known"),
         F.col(value).alias("_value"),
     ).where("_from IS NOT NULL AND _value IS NOT NULL").distinct()
+    f = cut(f.withColumn("_enters", F.greatest("_known", "_from")).where("_enters < _to"))
+    length = period_length(f, keys, period_days)
     e = events.drop(out) if out in events.columns and out not in keys else events
     t = F.col(event_time).cast("timestamp_ntz")
-    e = e.withColumn("_period", _period(t, period_days))
+    e = e.withColumn("_period", _period(t, length))
     periods = e.select(*keys, "_period").where("_period IS NOT NULL").distinct()
-    line = timelines(f, periods, keys, period_days)
-    salted = line.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    held, changes = cut(snapshots(f, periods, keys, length)), cut(change_log(f, keys, length))
+    spread = lambda d: d.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    on = [*keys, "_period", "_salt"]
     e = e.withColumn("_salt", F.pmod(F.xxhash64(t, *[F.col(c) for c in events.columns[:1]]), F.lit(salts)).cast("int"))
-    joined = e.join(salted, [*keys, "_period", "_salt"], "left")
-    best = F.array_max(F.filter("_line", lambda x: (x["_enters"] <= t) & (t < x["_to"])))
+    joined = e.join(spread(held), on, "left").join(spread(changes), on, "left")
+    still = F.filter("_held", lambda x: t < x["_to"])
+    replayed = F.filter("_changes", lambda x: (x["_enters"] <= t) & (t < x["_to"]))
+    best = F.greatest(F.array_max(still), F.array_max(replayed))  # greatest passes over nulls
     return joined.withColumn(out, best["_value"]).select(*e.columns[:-2], out)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.operators.asknown import as_known_join
-from embertrace.session import table
+from embertrace.session import cut, table
 
 
 def matches_with_patch(spark: SparkSession, root: str) -> DataFrame:
@@ -19,6 +19,7 @@ def matches_with_patch(spark: SparkSession, root: str) -> DataFrame:
     starts = table(spark, root, "metadata").select("match_id", "start_date_time", F.lit(None).cast("string").alias("patch_name"))
     m = stamps.unionByName(starts).where("match_id IS NOT NULL").groupBy("match_id").agg(
         F.min("start_date_time").alias("start_date_time"), F.min("patch_name").alias("least_name"), F.max("patch_name").alias("greatest_name"))
+    m = cut(m)  # a row a match: the big table is read once
     return as_known_join(
         m, table(spark, root, "patch_map"), event_time="start_date_time", valid_from="date_start",
         valid_to=F.expr("date_end + INTERVAL 1 SECOND"), known_at="known_at", value="patch", out="patch")

@@ -59,3 +59,26 @@ def test_known_later_is_never_used(spark):
     e = spark.createDataFrame([(n, "a", day(n)) for n in (9, 10, 29, 30, 99, 100)], "id int, k string, at timestamp_ntz")
     got = as_known_join(e, facts, event_time="at", valid_from="f", valid_to="t", known_at="known", value="v", keys=["k"])
     assert {r["id"]: r["value"] for r in got.select("id", F.col("value")).collect()} == {9: "old", 10: "old", 29: "old", 30: "new", 99: "new", 100: None}
+
+
+def test_periods_of_any_length_give_the_same(spark, monkeypatch):
+    import random
+
+    from embertrace.operators import asknown
+
+    r = random.Random(9)
+    day = datetime(1969, 12, 20)
+    facts = [(k, day + timedelta(seconds=r.randrange(40 * 86400), microseconds=r.choice([0, 1, 500000])), day + timedelta(days=r.randrange(1, 80)), r.choice([None, day + timedelta(hours=r.randrange(900))]), f"v{i}") for i in range(60) for k in (1, 2)]
+    events = [(r.choice([1, 2, None]), day + timedelta(seconds=r.randrange(60 * 86400), microseconds=r.choice([0, 1, 999999]))) for _ in range(200)] + [(1, f[1]) for f in facts[:20]]
+    f = spark.createDataFrame(facts, "k int, a timestamp_ntz, b timestamp_ntz, known timestamp_ntz, v string")
+    e = spark.createDataFrame(events, "k int, at timestamp_ntz")
+    want = []
+    for k, at in events:
+        held = [(a, known or a, v) for kk, a, b, known, v in facts if kk == k and max(a, known or a) <= at < b]
+        want.append((k, at, max(held)[2] if held else None))
+    order = lambda rows: sorted(map(str, rows))
+    for most in (1000, 3):
+        monkeypatch.setattr(asknown, "MOST_CHANGES", most)
+        monkeypatch.setattr(asknown.period_length, "__defaults__", (most,))
+        got = as_known_join(e, f, event_time="at", valid_from="a", valid_to="b", known_at="known", value="v", out="v", keys=["k"], period_days=4)
+        assert order(map(tuple, got.select("k", "at", "v").collect())) == order(want)
