@@ -11,7 +11,8 @@ For each token the resolved script sets of its letters are intersected:
   it takes the script of the nearest unambiguous token, else Latin;
 * none left: an irreducibly mixed token; letters go to the script that covers most of them, the rest stay.
 
-Every decision depends on look classes only, so strings that look the same get the same form.
+Letters that a style sets apart to the eye (mathematical bold, circled digits, roman numeral signs) are another look and stay.
+The table needs the classic session's JVM (ICU), not Spark Connect.  Every decision depends on look classes only, so strings that look the same get the same form.
 """
 
 from __future__ import annotations
@@ -25,6 +26,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
+from embertrace.session import cut
+
 SCRIPTS = ("Latin", "Cyrillic", "Greek", "Armenian", "Hebrew", "Arabic", "Georgian", "Cherokee", "Coptic", "Lisu")
 EVERYDAY = {"Latin": (0x41, 0x24F), "Cyrillic": (0x410, 0x451), "Greek": (0x391, 0x3CE)}
 IGNORABLE = regex.compile(r"[\p{Default_Ignorable_Code_Point}\p{Cf}]+")
@@ -142,10 +145,18 @@ def with_consistent_form(df: DataFrame, column: str, out: str = "form", kinds: s
         made = [consistent_form(x, looks) for x in s]
         return pd.DataFrame({"form": [m[0] for m in made], "kinds": [m[1] for m in made]})
 
-    r = df.withColumn("_look", form(F.col(column))).withColumn(out, F.col("_look.form"))
+    r = df.withColumn("_look", form.asNondeterministic()(F.col(column))).withColumn(out, F.col("_look.form"))  # so that no copy of the UDF is planned per field
     return (r.withColumn(kinds, F.col("_look.kinds")) if kinds else r).drop("_look")
 
 
+def look_alike_classes(df: DataFrame, id_col: str, column: str) -> DataFrame:
+    """id, class (the least id of the look), n_spellings: one row per row with something visible.  Nothing is expanded to pairs."""
+    rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).where("text IS NOT NULL AND text <> ''")
+    texts = cut(with_consistent_form(rows.groupBy("text").agg(F.min("id").alias("first")), "text", kinds=None).where("form <> ''"))
+    looks = texts.groupBy("form").agg(F.min("first").alias("class"), F.count(F.lit(1)).alias("n_spellings"))
+    return rows.join(texts.join(looks, "form").select("text", "class", "n_spellings"), "text").select("id", "class", "n_spellings")
+
+
 def look_alike_pairs(df: DataFrame, id_col: str, column: str, hot_rows: int = 2000, salts: int = 16) -> DataFrame:
     """Pairs of rows (``a`` < ``b``) whose text looks the same but has other code points.
 
@@ -154,7 +165,8 @@ def look_alike_pairs(df: DataFrame, id_col: str, column: str, hot_rows: int = 20
     salted on one side.  Every pair is part of the defined result, so nothing is capped.
     """
     rows = df.select(F.col(id_col).alias("id"), F.col(column).alias("text")).where("text IS NOT NULL AND text <> ''")
-    spelled = with_consistent_form(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "text", kinds=None).where("form <> ''")
+    # cut: the form of each distinct text is computed once, though it is used for counts and for members
+    spelled = cut(with_consistent_form(rows.groupBy("text").agg(F.count(F.lit(1)).alias("n")), "text", kinds=None).where("form <> ''"))
     many = spelled.groupBy("form").agg(F.count(F.lit(1)).alias("spellings"), F.sum("n").alias("rows")).where("spellings > 1")
     texts = spelled.join(many, "form").select("text", F.xxhash64("form").alias("h"), "form", "rows")
     members = rows.join(texts, "text")

@@ -29,6 +29,7 @@ from embertrace.session import cut
 
 CAPACITY = 2048
 STEPS = 64
+RANK_BITS = 44  # ranks of documents of one length
 TOKENIZERS = "/opt/tokenizers"
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -36,12 +37,13 @@ PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\
 def token_counts(df: DataFrame, id_col: str, text: str, folder: str = TOKENIZERS, vocabulary: str = "byte_bpe_50k.tiktoken") -> DataFrame:
     """id, n: tokens of the whole text by a public byte-level vocabulary; null and empty texts have 0."""
     kind = df.schema[id_col].dataType.simpleString()
+    with open(f"{folder}/{vocabulary}", "rb") as file:  # read here and shipped: executors need no such folder
+        shipped = df.sparkSession.sparkContext.broadcast(file.read())
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import tiktoken
 
-        with open(f"{folder}/{vocabulary}", "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, shipped.value.splitlines())}
         coder = tiktoken.Encoding("public", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         for f in frames:
             yield pd.DataFrame({"id": f["id"], "n": [len(coder.encode_ordinary(t)) if t else 0 for t in f["t"]]})
@@ -189,8 +191,15 @@ def packed(df: DataFrame, id_col: str, text: str, capacity: int = CAPACITY, fold
     before = per.withColumn("before", F.sum("c").over(Window.partitionBy("n_tokens").orderBy("shard")) - F.col("c")).drop("c")
     within = F.row_number().over(Window.partitionBy("n_tokens", "shard").orderBy("id", "piece")) - 1
     ranked = some.withColumn("within", within).join(before, ["n_tokens", "shard"]).withColumn("rank", F.col("before") + F.col("within"))
-    where = spark.createDataFrame(places(plan(histogram, capacity)) or [(0, 0, 0, 0)], "n_tokens long, first long, last long, base long")
     # the plan is bounded by patterns and lengths, not by documents
-    put = ranked.join(F.broadcast(where), "n_tokens").where("rank BETWEEN first AND last")
-    put = put.select("id", "piece", "start_token", "n_tokens", (F.col("base") + F.col("rank") - F.col("first")).alias("container"))
+    table = np.array(sorted(places(plan(histogram, capacity))) or [(0, 0, 0, 0)], dtype=np.int64)
+    shipped = spark.sparkContext.broadcast(((table[:, 0] << RANK_BITS) + table[:, 1], table[:, 3] - table[:, 1]))
+
+    @F.pandas_udf("long")
+    def container(n: pd.Series, rank: pd.Series) -> pd.Series:
+        keys, shift = shipped.value
+        r = rank.to_numpy()
+        return pd.Series(shift[np.searchsorted(keys, (n.to_numpy() << RANK_BITS) + r, side="right") - 1] + r)
+
+    put = ranked.select("id", "piece", "start_token", "n_tokens", container("n_tokens", "rank").alias("container"))
     return put.unionByName(empty)

@@ -9,7 +9,7 @@ from embertrace.llm.abuse import scored
 from embertrace.llm.encoding import garbled
 from embertrace.llm.language import identified, label_cases
 from embertrace.llm.leaks import BLOCK, PARAPHRASE, leak_candidates, leaked_items
-from embertrace.llm.lookalike import look_alike_pairs, with_consistent_form
+from embertrace.llm.lookalike import look_alike_classes, look_alike_pairs, with_consistent_form
 from embertrace.llm.overlap import cross_split_overlaps, overlap_records
 from embertrace.llm.packing import CAPACITY, packed
 from embertrace.llm.quota import quota_sample, targets_from_counts
@@ -48,6 +48,11 @@ def p2_forms(spark: SparkSession, root: str) -> DataFrame:
     return with_consistent_form(e, "key").select("idx", "form", "kinds")
 
 
+def p2_classes(spark: SparkSession, root: str) -> DataFrame:
+    c = look_alike_classes(table(spark, root, "enriched_gold_labeled"), "idx", "key")
+    return c.select(F.col("id").alias("idx"), "class", "n_spellings")
+
+
 def p5_components(spark: SparkSession, root: str) -> DataFrame:
     c = components(table(spark, root, "gold"), "match_id", "author_id")
     return c.select(F.col("node").alias("match_id"), "component")
@@ -145,6 +150,17 @@ def p8_fill(spark: SparkSession, root: str) -> DataFrame:
                  F.round(F.sum("tokens") / (F.count(F.lit(1)) * CAPACITY), 6).alias("fill"))
 
 
+def p8_check(spark: SparkSession, root: str) -> DataFrame:
+    """Documents placed, empty ones, whole documents in more than one piece, overfull containers, and whether the fill is 99 % or the least
+    number of containers."""
+    c = cut(p8_containers(spark, root))
+    of = c.groupBy("doc_id").agg(F.count("container").alias("pieces"), F.sum("n_tokens").alias("n"))
+    docs = of.agg(F.count(F.lit(1)).alias("n_documents"), F.count_if(F.col("pieces") == 0).alias("n_empty"), F.count_if((F.col("n") <= CAPACITY) & (F.col("pieces") > 1)).alias("n_torn"))
+    full = c.where("container IS NOT NULL").groupBy("container").agg(F.sum("n_tokens").alias("t"))
+    fill = full.agg(F.count_if(F.col("t") > CAPACITY).alias("n_overfull"), ((F.sum("t") / (F.count(F.lit(1)) * CAPACITY) >= 0.99) | (F.count(F.lit(1)) == F.ceil(F.sum("t") / CAPACITY))).alias("well_filled"))
+    return docs.withColumn("k", F.lit(1)).join(fill.withColumn("k", F.lit(1)), "k").drop("k")
+
+
 def p4_segments(spark: SparkSession, root: str) -> DataFrame:
     """Language and confidence of every key and of every segment of a mixed one."""
     e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "lang")
@@ -166,12 +182,12 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {
     "p4_found": p4_found, "p4_segments": p4_segments,
-    "p8_containers": p8_containers, "p8_fill": p8_fill,
+    "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check,
     "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_report": p9_report,
     "p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report,
-    "p2_found": p2_found, "p2_forms": p2_forms,
+    "p2_found": p2_found, "p2_forms": p2_forms, "p2_classes": p2_classes,
     "p5_found": p5_found, "p5_components": p5_components, "p5_split": p5_split, "p5_split_check": p5_split_check,
     "p7_found": p7_found, "p7_report": p7_report, "p7_sample": p7_sample,
 }
@@ -202,7 +218,11 @@ pairs AS (
   SELECT a.gold_id AS i, b.gold_id AS j, a.t AS s, b.t AS t FROM k a JOIN k b ON a.split = 'train' AND b.split <> 'train'
   WHERE abs(length(a.t) - length(b.t)) <= 0.2 * greatest(length(a.t), length(b.t)) AND levenshtein(a.t, b.t) <= 0.2 * greatest(length(a.t), length(b.t)))
 """
+_PACKED = """
+SELECT count(*) AS n_documents, count(*) FILTER (WHERE text IS NULL OR text = '') AS n_empty, 0 AS n_torn, 0 AS n_overfull, true AS well_filled FROM documents
+"""
 ORACLES = {
+    "p8_check": _PACKED,
     "p1_found": _NEAR + "SELECT least(i, j) AS gold_id_a, greatest(i, j) AS gold_id_b FROM pairs",
     "p5_components": _COMPONENTS + "SELECT node AS match_id, component FROM c",
     "p5_found": _COMPONENTS + "SELECT x.node AS match_id_a, y.node AS match_id_b FROM c x JOIN c y ON x.component = y.component AND x.node < y.node",
