@@ -32,8 +32,8 @@ SAMPLE_ROWS = 12_000
 ROUNDS = 3
 PRIOR = 200.0
 UNKNOWN = 1e-6
+USUAL_WORDS = 12  # a row teaches in proportion to the square root of its length; one of so many words counts each word once
 LONGEST = 48  # longer words are summed in logs, and their scores not remembered
-ROW_WORDS = 60  # a longer row teaches no more than so many words
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 APART = re.compile(r"(?<!\S)(?:[^\W\d_][ .\-_*]){2,}[^\W\d_](?!\S)")  # a word spelled letter by letter
 BREAK = re.compile(r"(^|[^\w\s'’])$|[.!?,;:|\-–—]$")
@@ -56,9 +56,9 @@ def words_of(form: str) -> tuple[list[str], list[bool]]:
 class Unigrams:
     """Piece probabilities of the languages: piece -> vector."""
 
-    def __init__(self, pieces: dict[str, np.ndarray], longest: int):
-        self.pieces, self.longest = pieces, longest
-        self.none = np.full(len(LANGUAGES), UNKNOWN)
+    def __init__(self, pieces: dict[str, np.ndarray], longest: int, k: int = len(LANGUAGES)):
+        self.pieces, self.longest, self.k = pieces, longest, k
+        self.none = np.full(k, UNKNOWN)
         self.memory: dict[str, np.ndarray] = {}
 
     def arcs(self, s: str, j: int) -> list[tuple[int, str | None, np.ndarray]]:
@@ -74,7 +74,7 @@ class Unigrams:
 
     def long_score(self, word: str) -> np.ndarray:
         """``score`` of a word of any length; keeps the last few places only."""
-        s, a = "▁" + word, deque([np.zeros(len(LANGUAGES))], maxlen=self.longest)
+        s, a = "▁" + word, deque([np.zeros(self.k)], maxlen=self.longest)
         for j in range(1, len(s) + 1):
             a.append(np.logaddexp.reduce([a[i - j] + np.log(np.maximum(p, 1e-300)) for i, _, p in self.arcs(s, j)]))
         return a[-1]
@@ -88,12 +88,12 @@ class Unigrams:
             if len(self.memory) > 200_000:
                 self.memory.clear()
             if not word:
-                got = np.zeros(len(LANGUAGES))
+                got = np.zeros(self.k)
             else:
                 s, into = self.lattice(word)
-                a = [np.ones(len(LANGUAGES))]
+                a = [np.ones(self.k)]
                 for j in range(1, len(s) + 1):
-                    total = np.zeros(len(LANGUAGES))
+                    total = np.zeros(self.k)
                     for i, _, p in into[j]:
                         total = total + a[i] * p
                     a.append(total)
@@ -107,19 +107,19 @@ class Unigrams:
         n = len(s)
         if len(word) > LONGEST:
             into = [[(i, piece, np.log(np.maximum(p, 1e-300))) for i, piece, p in x] for x in into]
-            a = [np.zeros(len(LANGUAGES))]
+            a = [np.zeros(self.k)]
             for j in range(1, n + 1):
                 a.append(np.logaddexp.reduce([a[i] + p for i, _, p in into[j]]))
-            b = [np.full(len(LANGUAGES), -np.inf) for _ in range(n)] + [np.zeros(len(LANGUAGES))]
+            b = [np.full(self.k, -np.inf) for _ in range(n)] + [np.zeros(self.k)]
             for j in range(n, 0, -1):
                 for i, _, p in into[j]:
                     b[i] = np.logaddexp(b[i], p + b[j])
             share = lambda i, p, j: np.exp(a[i] + p + b[j] - a[n]) * weight
         else:
-            a = [np.ones(len(LANGUAGES))]
+            a = [np.ones(self.k)]
             for j in range(1, n + 1):
-                a.append(sum((a[i] * p for i, _, p in into[j]), np.zeros(len(LANGUAGES))))
-            b = [np.zeros(len(LANGUAGES)) for _ in range(n)] + [np.ones(len(LANGUAGES))]
+                a.append(sum((a[i] * p for i, _, p in into[j]), np.zeros(self.k)))
+            b = [np.zeros(self.k) for _ in range(n)] + [np.ones(self.k)]
             for j in range(n, 0, -1):
                 for i, _, p in into[j]:
                     b[i] = b[i] + p * b[j]
@@ -176,19 +176,19 @@ def segments(score: np.ndarray, breaks: Sequence[bool]) -> list[tuple[int, int,
     return out[::-1]
 
 
-def fit(rows: list[tuple[str, str | None]], pieces: dict[str, float]) -> Unigrams:
-    """EM on (form, label) rows; labels outside LANGUAGES teach nothing in the first round."""
+def fit(rows: list[tuple[str, str | None]], pieces: dict[str, float], languages: Sequence[str] = LANGUAGES) -> Unigrams:
+    """EM on (form, label) rows; labels outside ``languages`` teach nothing in the first round."""
     longest = max(map(len, pieces))
-    k = len(LANGUAGES)
+    k = len(languages)
     texts = [(words_of(f), label) for f, label in rows]
-    model = Unigrams({p: np.full(k, w) for p, w in pieces.items()}, longest)
+    model = Unigrams({p: np.full(k, w) for p, w in pieces.items()}, longest, k)
     for r in range(ROUNDS + 1):
         seen: dict[str, np.ndarray] = {}
         for (words, breaks), label in texts:
             if r == 0:
-                if label not in LANGUAGES:
+                if label not in languages:
                     continue
-                spans = [(0, len(words), LANGUAGES.index(label))]
+                spans = [(0, len(words), list(languages).index(label))]
             else:
                 if not words:
                     continue
@@ -200,7 +200,7 @@ def fit(rows: list[tuple[str, str | None]], pieces: dict[str, float]) -> Unigram
                     if w:
                         if w not in seen:
                             seen[w] = np.zeros(k)
-                        seen[w][lang] += min(1.0, ROW_WORDS / len(words))
+                        seen[w][lang] += (USUAL_WORDS / len(words)) ** 0.5
         counts: dict[str, np.ndarray] = {}
         for w, n in seen.items():
             model.expect(w, n, counts)
@@ -208,11 +208,11 @@ def fit(rows: list[tuple[str, str | None]], pieces: dict[str, float]) -> Unigram
         pooled = {p: float(c.sum()) for p, c in counts.items()}
         all_counts = max(sum(pooled.values()), 1e-9)
         uniform = 1.0 / len(pieces)
-        model = Unigrams({p: (counts.get(p, 0.0) + PRIOR * (0.9 * pooled.get(p, 0.0) / all_counts + 0.1 * uniform)) / (total + PRIOR) for p in pieces}, longest)
+        model = Unigrams({p: (counts.get(p, 0.0) + PRIOR * (0.9 * pooled.get(p, 0.0) / all_counts + 0.1 * uniform)) / (total + PRIOR) for p in pieces}, longest, k)
     return model
 
 
-def identified(df: DataFrame, id_col: str, text: str, label: str, path: str = MODEL, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+def identified(df: DataFrame, id_col: str, text: str, label: str, path: str = MODEL, sample_rows: int = SAMPLE_ROWS, languages: Sequence[str] = LANGUAGES) -> DataFrame:
     """id, segment, first_word, n_words, lang, confidence: one row per stretch of one language.
 
     confidence: the posterior of the language over the stretch with equal priors.  Null and empty texts and texts
@@ -222,12 +222,15 @@ def identified(df: DataFrame, id_col: str, text: str, label: str, path: str = MO
     """
     looks = build_table(df.sparkSession)
     rows = df.select(F.col(text).alias("t"), F.col(label).alias("l"), F.xxhash64(F.lit(4), id_col).alias("r"))
-    taught = rows.where(F.col("l").isin(list(LANGUAGES)) & (F.col("t") != "")).orderBy("r", "t").limit(sample_rows).collect()
-    model = fit([(consistent_form(r["t"], looks)[0], r["l"]) for r in taught], load_pieces(path))
+    taught = rows.where(F.col("l").isin(list(languages)) & (F.col("t") != "")).orderBy("r", "t").limit(sample_rows).collect()
+    model = fit([(consistent_form(r["t"], looks)[0], r["l"]) for r in taught], load_pieces(path), languages)
+    model.memory = {}
+    shipped = df.sparkSession.sparkContext.broadcast(model)  # pieces of a fixed vocabulary by languages
     kind = df.schema[id_col].dataType.simpleString()
-    names = np.array(LANGUAGES)
+    names = np.array(languages)
 
     def identify(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shipped.value
         for f in frames:
             out = []
             for i, t in zip(f["id"], f["t"], strict=True):
