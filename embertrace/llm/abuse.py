@@ -4,7 +4,8 @@ Two interpolated Kneser-Ney models, of abusive and of ordinary rows, share their
 neither class has seen says nothing.  The models are taught by a bounded sample of labelled rows; the ordinary one also by
 the n-gram counts of all unlabelled texts that aren't found abusive, gathered by a distributed aggregation.  A row's score is the best length-normalised log-likelihood ratio of any stretch
 of its words: a short insult inside a long message counts as much as one alone.  Abusive training rows hold ordinary
-words too; after a first fit, only their best stretches train the abusive class.
+words too; after a first fit, only their best stretches train the abusive class.  Labels that contradict each other are settled before
+(``consistent_label``); the models' scores never overrule a label.
 
 Texts are first brought to one form: look-alikes resolved, case and accents of no weight, spaced or dotted letters
 joined, digits and signs inside words read as letters, stretched letters shortened.
@@ -27,9 +28,9 @@ from embertrace.session import cut
 ORDER = 6
 SHARED = 2  # orders up to this are pooled
 DISCOUNT = 0.75
-NOISE = 0.1  # share of a class's counts that errors of annotation may put into the other
+NOISE = 0.02  # share of a class's counts that errors of annotation may put into the other
 LEAN = 3.0  # ordinary counts that weigh on a context of the abusive class
-MOST_WORDS = 12
+EVERY = 12  # stretches of so many words are all tried, longer ones by growing lengths
 SHORTEST = 4.0  # characters added to a stretch's length before normalising
 SAMPLE_ROWS = 8_000
 BIN_BITS = 24  # n-grams are counted in so many hash bins an order, so a model's size has a bound
@@ -61,7 +62,7 @@ def plain_form(text: str, looks: dict) -> str:
     t = MIXED.sub(letters, t)
     t = STRETCHED.sub(r"\1", t)
     t = NUMBER.sub("0", OTHER.sub(" ", t)).strip()
-    return f" {t} " if t else ""
+    return f" ^ {t} $ " if t else ""  # its ends are words too: an insult alone isn't one inside a report
 
 
 def _hashes(codes: np.ndarray, ok: np.ndarray, n: int) -> np.ndarray:
@@ -194,24 +195,33 @@ class Contrast:
 
     def best_stretches(self, texts: list[str]) -> list[tuple[float, int, int]]:
         """Per text: (score, first, last) of its most abusive stretch of whole words; -9 for an empty text."""
-        if not texts:
-            return []
+        best, lo, hi = self.stretches(texts)
+        return list(zip(best.tolist(), lo.tolist(), hi.tolist(), strict=True))
+
+    def stretches(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """As ``best_stretches``, in arrays.  Stretches of up to ``EVERY`` words are all tried, longer ones by lengths that grow by a
+        quarter up to the whole text: the work is in proportion to the text, and its length has no limit."""
+        best, first, last = np.full(len(texts), -9.0), np.zeros(len(texts), dtype=np.int64), np.zeros(len(texts), dtype=np.int64)
+        if not any(texts):
+            return best, first, last
         r, starts = self.ratios(texts)
-        sums = np.concatenate([[0.0], np.cumsum(r)])
-        out = []
-        for t, s in zip(texts, starts.tolist(), strict=True):
-            if not t:
-                out.append((-9.0, 0, 0))
-                continue
-            gaps = np.array([i for i, c in enumerate(t) if c == " "])
-            m = sums[s + gaps + 1]
-            a, b = np.triu_indices(len(gaps), 1)
-            keep = b - a <= MOST_WORDS
-            a, b = a[keep], b[keep]
-            score = (m[b] - m[a]) / np.sqrt(gaps[b] - gaps[a] + SHORTEST)
-            k = int(score.argmax())
-            out.append((float(score[k]), int(gaps[a[k]]), int(gaps[b[k]]) + 1))
-        return out
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+        gaps = np.flatnonzero(codes == 32)
+        of = np.searchsorted(starts, gaps, side="right") - 1
+        m = np.concatenate([[0.0], np.cumsum(r)])[gaps + 1]
+        top, reach = np.full(len(gaps), -np.inf), np.zeros(len(gaps), dtype=np.int64)
+        longest = int(np.bincount(of).max()) - 1
+        n = 1
+        while n <= longest:
+            score = np.where(of[n:] == of[:-n], (m[n:] - m[:-n]) / np.sqrt(gaps[n:] - gaps[:-n] + SHORTEST), -np.inf)
+            better = np.flatnonzero(score > top[:-n])
+            top[better], reach[better] = score[better], n
+            n = n + 1 if n < EVERY else min(n * 5 // 4, longest) if n < longest else n + 1
+        order = np.lexsort((np.arange(len(gaps)), -top, of))
+        head = order[np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))]
+        t = of[head]
+        best[t], first[t], last[t] = top[head], gaps[head] - starts[t], gaps[head + reach[head]] - starts[t] + 1
+        return best, first, last
 
 
 def fit(texts: list[str], labels: list[int], unlabelled: Levels | None = None) -> Contrast:
@@ -250,51 +260,32 @@ def held_out(texts: list[str], taught: np.ndarray, folds: int = 3, unlabelled: L
     return scores
 
 
-LONG_ROW = 40
-RELIABLE = 0.8  # held-out F1 from which scores may overrule labels
-
-
-def settled(texts: list[str], y: np.ndarray, scores: np.ndarray, threshold: float) -> np.ndarray:
-    """Labels with clear contradictions of held-out scores turned, and unclear ones of longer rows taken out (-1)."""
-    long = np.array([len(t) > LONG_ROW for t in texts])
-    out = np.where(scores < 0.5 * threshold, 0, np.where(scores > 2.0 * threshold, 1, y))
-    out[(y == 1) & (out == 1) & (scores < threshold) & long] = -1
-    out[(y == 0) & (out == 0) & (scores > threshold)] = -1
-    return out
-
-
 def cross_fit(texts: list[str], labels: list[int], ordinary: Callable[[Contrast, float, set[str]], Levels] | None = None) -> tuple[Contrast, float, float]:
     """(model, threshold, held-out F1).
 
-    The threshold comes from rows that the scoring model hasn't seen.  Labels that held-out scores contradict are
-    taken as errors of annotation, if the scores are reliable at all.  Unlabelled texts that are clearly not abusive teach the ordinary class too: ``ordinary`` gives the n-grams of those that
-    a model scores below a threshold, without the texts of a set.
+    The threshold comes from rows that the scoring model hasn't seen.  Unlabelled texts teach the ordinary class too, as far as a model takes
+    them for ordinary: ``ordinary`` gives the n-grams of those that it scores below a threshold, without the texts of a set.
     """
     y = np.array(labels)
     scores = held_out(texts, y)
     threshold, f1 = best_threshold(scores, y)
-    taught = settled(texts, y, scores, threshold) if f1 >= RELIABLE else y.copy()
-    texts, y, taught = [t for t, k in zip(texts, taught, strict=True) if k >= 0], y[taught >= 0], taught[taught >= 0]
-    scores = held_out(texts, taught)
-    threshold, f1 = best_threshold(scores, taught)
-    if f1 >= RELIABLE:
-        taught = np.where(scores < 0.5 * threshold, 0, taught)
     seen, unlabelled = set(texts), None
     for _ in range(2 if ordinary else 0):
-        unlabelled = ordinary(fit(texts, taught.tolist(), unlabelled), threshold, seen)
-        scores = held_out(texts, taught, unlabelled=unlabelled)
-        threshold, f1 = best_threshold(scores, taught)
-    return fit(texts, taught.tolist(), unlabelled), threshold, f1
+        unlabelled = ordinary(fit(texts, labels, unlabelled), threshold, seen)
+        scores = held_out(texts, y, unlabelled=unlabelled)
+        threshold, f1 = best_threshold(scores, y)
+    return fit(texts, labels, unlabelled), threshold, f1
 
 
 def ordinary_levels(forms: DataFrame, model: Contrast, threshold: float, seen: set[str]) -> Levels:
     """The n-grams of all texts (form) that the model scores below the threshold, without those of ``seen``."""
+    given = forms.sparkSession.sparkContext.broadcast(model)
 
     def grams(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), 2000):
                 texts = [t for t in f["form"].iloc[lo : lo + 2000] if t not in seen]
-                low = [t for t, (s, _, _) in zip(texts, model.best_stretches(texts), strict=True) if s < threshold]
+                low = [t for t, s in zip(texts, given.value.stretches(texts)[0], strict=True) if s < threshold]
                 for n, (key, suffix, context, counts, starts) in gram_levels(low, [2] * len(low)).items():
                     yield pd.DataFrame({"n": n, "key": key, "suffix": suffix, "context": context, "many": counts[:, 2], "starts": starts[:, 2]})
 
@@ -309,6 +300,15 @@ def ordinary_levels(forms: DataFrame, model: Contrast, threshold: float, seen: s
     return out
 
 
+def consistent_label(general: str, specific: list[str], swearing: str):
+    """True, False, or null without labels: a specific kind of abuse makes a row abusive; swearing alone leaves it to the general label; a general
+    label without any kind is taken for an error of annotation."""
+    some = F.greatest(*[F.coalesce(F.col(c), F.lit(0)) for c in specific]) > 0
+    both = (F.coalesce(F.col(general), F.lit(0)) > 0) & (F.coalesce(F.col(swearing), F.lit(0)) > 0)
+    unlabelled = F.greatest(*[F.col(c) for c in [general, swearing, *specific]]).isNull()
+    return F.when(~unlabelled, some | both)
+
+
 def scored(df: DataFrame, id_col: str, text: str, label, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """id, score, abusive, for every row.  label: a boolean expression, null where a row is not labelled.
 
@@ -338,12 +338,14 @@ def scored(df: DataFrame, id_col: str, text: str, label, sample_rows: int = SAMP
     ordinary = None if forms.isEmpty() else lambda *given: ordinary_levels(forms, *given)
     model, threshold, _ = cross_fit([t for t, _ in pairs], [y for _, y in pairs], ordinary)
 
+    fitted = spark.sparkContext.broadcast(model)
+
     def score(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             for lo in range(0, len(f), 2000):
                 part = f.iloc[lo : lo + 2000]
                 forms = [plain_form(t, looks) if isinstance(t, str) else "" for t in part["t"]]
-                s = np.array([x for x, _, _ in model.best_stretches(forms)])
+                s = fitted.value.stretches(forms)[0]
                 yield pd.DataFrame({"id": part["id"], "score": s, "abusive": s > threshold})
 
     return df.select(F.col(id_col).alias("id"), F.col(text).alias("t")).mapInPandas(score, f"id {kind}, score double, abusive boolean")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from embertrace.llm.abuse import scored
+from embertrace.llm.abuse import consistent_label, scored
 from embertrace.llm.encoding import garbled
 from embertrace.llm.language import identified, label_cases
 from embertrace.llm.leaks import BLOCK, PARAPHRASE, leak_candidates, leaked_items
@@ -123,8 +123,9 @@ def p10_repaired(spark: SparkSession, root: str) -> DataFrame:
 
 def p6_scores(spark: SparkSession, root: str) -> DataFrame:
     """Every row with its score and verdict."""
-    e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "y_toxic")
-    return scored(e, "idx", "key", F.col("y_toxic") > 0).select(F.col("id").alias("idx"), F.round("score", 4).alias("score"), "abusive")
+    kinds = ["y_severe_toxic", "y_threat", "y_insult", "y_identity_hate"]
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "key", "y_toxic", "y_obscene", *kinds)
+    return scored(e, "idx", "key", consistent_label("y_toxic", kinds, "y_obscene")).select(F.col("id").alias("idx"), F.round("score", 4).alias("score"), "abusive")
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:
@@ -138,6 +139,13 @@ def p6_rates(spark: SparkSession, root: str) -> DataFrame:
         F.count(F.lit(1)).alias("n_rows"), F.count_if("abusive").alias("n_abusive"), F.round(F.avg(F.col("abusive").cast("double")), 6).alias("rate"))
 
 
+def p6_scorer_gaps(spark: SparkSession, root: str) -> DataFrame:
+    """By source: verdicts that ``max_toxicity_prob`` misses (below one half or null), and rows that it alone would flag."""
+    e = table(spark, root, "enriched_gold_labeled").select("idx", "source", (F.coalesce("max_toxicity_prob", F.lit(0.0)) >= 0.5).alias("flagged"))
+    return e.join(p6_scores(spark, root), "idx").groupBy("source").agg(
+        F.count_if("abusive").alias("n_abusive"), F.count_if(F.col("abusive") & ~F.col("flagged")).alias("n_missed"), F.count_if(~F.col("abusive") & F.col("flagged")).alias("n_overstated"))
+
+
 def p8_containers(spark: SparkSession, root: str) -> DataFrame:
     """Container of every document or piece, in tokens."""
     return packed(table(spark, root, "documents"), "doc_id", "text").withColumnRenamed("id", "doc_id")
@@ -183,7 +191,7 @@ def p9_passages(spark: SparkSession, root: str) -> DataFrame:
 QUERIES = {
     "p4_found": p4_found, "p4_segments": p4_segments,
     "p8_containers": p8_containers, "p8_fill": p8_fill, "p8_check": p8_check,
-    "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates,
+    "p6_found": p6_found, "p6_scores": p6_scores, "p6_rates": p6_rates, "p6_scorer_gaps": p6_scorer_gaps,
     "p10_found": p10_found, "p10_repaired": p10_repaired,
     "p9_found": p9_found, "p9_passages": p9_passages, "p9_report": p9_report,
     "p1_found": p1_found, "p1_records": p1_records, "p1_report": p1_report,

@@ -257,6 +257,30 @@ def test_abuse_counts_every_unlabelled_text(spark):
     assert score(few) == score(many)
 
 
+def test_labels_that_contradict_each_other(spark):
+    rows = [(1, 1, 0, 0, True), (2, 1, 1, 0, True), (3, 0, 1, 0, False), (4, 1, 0, 1, True), (5, 0, 0, 0, False), (6, 0, 0, 1, True), (7, None, None, None, None), (8, None, None, 1, True)]
+    rows[0] = (1, 1, 0, 0, False)
+    df = spark.createDataFrame(rows, "i int, general int, swearing int, insult int, want boolean")
+    assert all(x["got"] == x["want"] for x in df.withColumn("got", A.consistent_label("general", ["insult", "insult"], "swearing")).collect())
+
+
+def test_stretches_of_very_long_texts_and_against_all():
+    r = random.Random(6)
+    words = "one two three you are a clown moron near the river".split()
+    c = A.Contrast([" " + " ".join(r.choice(words[:3] + words[8:]) for _ in range(5)) + " " for _ in range(40)] + [" you are a clown ", " you moron "] * 10, [0] * 40 + [1] * 20)
+    texts = [" " + " ".join(r.choice(words) for _ in range(r.randint(1, 14))) + " " for _ in range(50)] + ["", " one "]
+    for t, (s, lo, hi) in zip(texts, c.best_stretches(texts), strict=True):
+        if not t:
+            assert s == -9.0
+            continue
+        m = np.concatenate([[0.0], np.cumsum(c.ratios([t])[0])])
+        gaps = [i for i, x in enumerate(t) if x == " "]
+        every = {(a, b + 1): (m[b + 1] - m[a + 1]) / np.sqrt(b - a + A.SHORTEST) for i, a in enumerate(gaps) for b in gaps[i + 1 :]}
+        assert (lo, hi) in every and abs(every[lo, hi] - s) < 1e-6 and (len(gaps) > 13 or s >= max(every.values()) - 1e-6)
+    long = " " + "near the river " * 30_000
+    assert np.isfinite(c.best_stretches([long])[0][0])
+
+
 def test_kneser_ney_probabilities_sum_to_one():
     c = A.Contrast([" abab ", " abba ", " bbbb "], [0, 0, 1])
     assert len(c.ratios([" ab "])[0]) == 4 and c.best_stretches([])==[] and c.best_stretches([""])[0][0] == -9.0
