@@ -3,8 +3,8 @@
 A chain (wrong, right, times) says: the bytes of ``right`` text were read as ``wrong``, so ``encode(wrong)`` then
 ``decode(right)`` restores it.  Hypotheses for a token are identity and every chain that yields a clean
 string.  The latent chain of a token is scored by a character bigram model of clean text and by the chain's prior in the
-token's source; both are estimated together by EM over the counts of all tokens with rare characters, so
-weak evidence in one record is backed by all others of its source, and garbled bigrams lose their weight as
+token's pool (source and field); both are estimated together by EM over the counts of all tokens with rare characters, so
+weak evidence in one record is backed by all others of its pool, and garbled bigrams lose their weight as
 their tokens are explained by chains.  Each record is then judged and repaired by its own posterior: chains with enough
 evidence in the record become likely for its other tokens too.  Replacement characters mark a loss that no chain can undo.
 """
@@ -15,7 +15,7 @@ import math
 import re
 import unicodedata
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
@@ -36,6 +36,7 @@ LOST = "lost"
 NAMES = [f"{w}>{r}" + (f"x{n}" if n > 1 else "") for w, r, n in CHAINS]
 BINS = 1 << 18
 ROUNDS = 4
+MOST_POOLS = 20_000  # priors of so many pools (a row of 27 numbers each) are broadcast, more are joined
 ENOUGH = 5.0
 BLANKS = str.maketrans("\n\t\r", "   ")
 PUNCTUATION = "".join(map(chr, [*range(33, 48), *range(58, 65), *range(91, 97), *range(123, 127)]))
@@ -99,11 +100,10 @@ def _bigrams(s: str) -> tuple[list[int], list[int]]:
 
 
 class Model:
-    """Bigram weights (bins), weights of first characters (bins), and chain priors by source."""
+    """Bigram weights (bins) and weights of first characters (bins)."""
 
-    def __init__(self, two: np.ndarray, one: np.ndarray, prior: dict[str, np.ndarray]):
-        self.two, self.one, self.prior = two, one, prior
-        self.base = np.mean(list(prior.values()), axis=0) if prior else self.first()
+    def __init__(self, two: np.ndarray, one: np.ndarray):
+        self.two, self.one = two, one
         self.known: dict[str, tuple[float, list[tuple[int, str, float]]]] = {}
 
     @staticmethod
@@ -143,21 +143,34 @@ def rare_tokens(text: str) -> list[str]:
     return [t for t in text.translate(BLANKS).split(" ") if not t.isascii()]
 
 
-def fit(docs: DataFrame) -> Model:
-    """EM over (token, source) counts of all documents (text, source); the model has fixed bins whatever the data."""
+def _with_prior(rows: DataFrame, prior: DataFrame | None) -> DataFrame:
+    """``rows`` plus the chain prior ``p`` of their pool; it is broadcast only if the pools are few."""
+    start = F.array(*[F.lit(float(x)) for x in Model.first()])
+    if prior is None:
+        return rows.withColumn("p", start)
+    small = prior.limit(MOST_POOLS + 1).count() <= MOST_POOLS
+    return rows.join(F.broadcast(prior) if small else prior, "pool", "left").withColumn("p", F.coalesce("p", start))
+
+
+def fit(docs: DataFrame) -> tuple[Model, DataFrame]:
+    """(model, priors: pool, p): EM over (token, pool) counts of all documents (text, pool).
+
+    The model has fixed bins whatever the data; priors stay a table, however many pools there are.
+    """
+    sc = docs.sparkSession.sparkContext
 
     def count(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         seen: Counter = Counter()
         for f in frames:
-            for t, s in zip(f["text"], f["source"], strict=True):
+            for t, s in zip(f["text"], f["pool"], strict=True):
                 seen.update((s, x) for x in rare_tokens(t))
             if len(seen) > 200_000:
-                yield pd.DataFrame([(s, x, n) for (s, x), n in seen.items()], columns=["source", "token", "n"])
+                yield pd.DataFrame([(s, x, n) for (s, x), n in seen.items()], columns=["pool", "token", "n"])
                 seen.clear()
-        yield pd.DataFrame([(s, x, n) for (s, x), n in seen.items()], columns=["source", "token", "n"])
+        yield pd.DataFrame([(s, x, n) for (s, x), n in seen.items()], columns=["pool", "token", "n"])
 
-    pairs = docs.mapInPandas(count, "source string, token string, n long").groupBy("token", "source").agg(F.sum("n").alias("n"))
-    types = cut(pairs.groupBy("token").agg(F.collect_list("source").alias("sources"), F.collect_list("n").alias("ns"), F.sum("n").alias("total")))
+    pairs = cut(docs.mapInPandas(count, "pool string, token string, n long").groupBy("token", "pool").agg(F.sum("n").alias("n")))
+    types = pairs.groupBy("token").agg(F.sum("n").alias("total"))
 
     def options(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -168,27 +181,31 @@ def fit(docs: DataFrame) -> Model:
     made = types.select("token").mapInPandas(options, "token string, k int, original string")
     met = made.join(types.select(F.col("token").alias("original"), F.col("total").alias("m")), "original")
     likely = met.groupBy("token").agg(F.max(F.struct("m", "original")).alias("x"))
-    types = cut(types.join(likely, "token", "left").select("token", "sources", "ns", F.when(F.col("x.m") > 3 * F.col("total"), F.col("x.original")).alias("likely")))
-    model = None
+    told = types.join(likely, "token").where(F.col("x.m") > 3 * F.col("total")).select("token", F.col("x.original").alias("likely"))
+    parts = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), sc.defaultParallelism)
+    rows = cut(pairs.join(told, "token", "left").select("token", "pool", "n", "likely").repartition(parts, "token"))  # a token's pools lie together
+    model, prior = None, None
     for _ in range(ROUNDS):
-        def step(frames: Iterator[pd.DataFrame], model=model) -> Iterator[pd.DataFrame]:
+        given = sc.broadcast(model)
+
+        def step(frames: Iterator[pd.DataFrame], given=given) -> Iterator[pd.DataFrame]:
+            model = given.value
             two, one, chains = np.zeros(BINS), np.zeros(BINS), {}
+
+            def pools() -> pd.DataFrame:
+                return pd.DataFrame([("chain", s, k, w) for s, c in chains.items() for k, w in enumerate(c.tolist()) if w], columns=["kind", "pool", "key", "w"])
+
             for f in frames:
-                for token, sources, ns, likely in zip(f["token"], f["sources"], f["ns"], f["likely"], strict=True):
-                    weights: dict[str, float] = {}
+                for token, pool, n, likely, prior in f[["token", "pool", "n", "likely", "p"]].itertuples(index=False):
                     opts = model.options(token)[1] if model else []
                     if not model and likely:
                         token = likely
-                    for s, n in zip(sources, ns, strict=True):
-                        if not opts:
-                            weights[token] = weights.get(token, 0.0) + n
-                            if model:
-                                chains.setdefault(s, np.zeros(len(CHAINS) + 1))[-1] += n
-                            continue
-                        own, rest = model.posterior(token, model.prior.get(s, model.base))
-                        c = chains.setdefault(s, np.zeros(len(CHAINS) + 1))
+                    weights = {token: float(n)}
+                    if model:
+                        c = chains.setdefault(pool, np.zeros(len(CHAINS) + 1))
+                        own, rest = model.posterior(token, prior) if opts else (1.0, [])
                         c[-1] += own * n
-                        weights[token] = weights.get(token, 0.0) + own * n
+                        weights = {token: own * n}
                         for k, o, p in rest:
                             c[k] += p * n
                             weights[o] = weights.get(o, 0.0) + p * n
@@ -197,21 +214,27 @@ def fit(docs: DataFrame) -> Model:
                             b, a = _bigrams(s)
                             np.add.at(two, b, w)
                             np.add.at(one, np.array(a) % BINS, w)
-            rows = [pd.DataFrame({"kind": k, "key": np.flatnonzero(v).astype(str), "w": v[np.flatnonzero(v)]}) for k, v in (("two", two), ("one", one))]
-            rows += [pd.DataFrame({"kind": s, "key": [str(k) for k in range(len(c))], "w": c}).assign(kind="source\t" + s) for s, c in chains.items()]
-            yield pd.concat(rows)
-
-        two, one, prior = np.zeros(BINS), np.zeros(BINS), {}
-        for r in types.mapInPandas(step, "kind string, key string, w double").groupBy("kind", "key").agg(F.sum("w").alias("w")).collect():  # bins and sources only
-            if r["kind"] == "two":
-                two[int(r["key"])] = r["w"]
-            elif r["kind"] == "one":
-                one[int(r["key"])] = r["w"]
-            else:
-                prior.setdefault(r["kind"].split("\t", 1)[1], np.zeros(len(CHAINS) + 1))[int(r["key"])] = r["w"]
-        start = Model.first()
-        model = Model(two, one, {s: (c + 20 * start) / (c.sum() + 20) for s, c in prior.items()})
-    return model
+                if len(chains) > 2000:
+                    yield pools()
+                    chains.clear()
+            for kind, v in (("two", two), ("one", one)):
+                some = np.flatnonzero(v)
+                yield pd.DataFrame({"kind": kind, "pool": "", "key": some, "w": v[some]})
+            yield pools()
+
+        got = cut(_with_prior(rows, prior).mapInPandas(step, "kind string, pool string, key int, w double").groupBy("kind", "pool", "key").agg(F.sum("w").alias("w")))
+        two, one = np.zeros(BINS), np.zeros(BINS)
+        bins = got.where("kind <> 'chain'").select("kind", "key", "w").toPandas()  # fixed bins
+        for kind, v in (("two", two), ("one", one)):
+            part = bins[bins["kind"] == kind]
+            v[part["key"].to_numpy()] = part["w"]
+        if model is not None:
+            by_chain = F.map_from_entries(F.collect_list(F.struct("key", "w")))  # an entry a chain
+            start = F.array(*[F.lit(20.0 * float(x)) for x in Model.first()])
+            c = got.where("kind = 'chain'").groupBy("pool").agg(by_chain.alias("m"), F.sum("w").alias("all"))
+            prior = cut(c.select("pool", F.transform(start, lambda x, i: (x + F.coalesce(F.try_element_at("m", i), F.lit(0.0))) / (F.col("all") + 20.0)).alias("p")))
+        model = Model(two, one)
+    return model, prior
 
 
 def leads(token: str, prior: np.ndarray, model: Model) -> tuple[float, tuple[int, ...]]:
@@ -273,28 +296,34 @@ def judge(text: str, prior: np.ndarray, model: Model, memory: dict[str, tuple[fl
     return chains, "".join([*out, fixed.get(w, w)]), float(evidence.max())
 
 
-def garbled(docs: DataFrame, id_col: str, text: str, source: str) -> DataFrame:
-    """id, chains, evidence, repaired: the records with wrongly decoded text; other records give no row.
+def garbled(docs: DataFrame, id_col: str, text: str | Sequence[str], source: str) -> DataFrame:
+    """id, field, chains, evidence, repaired: the records with wrongly decoded text; other records give no row.
 
+    text: one or more columns (fields).  Evidence is pooled per source and field.
     Null and empty texts are sound; a null source is a source of its own; texts of any length are judged whole; unaffected
     parts of a record stay as they are, and so do replacement characters.  Repeated records are judged alike.
     """
-    d = docs.select(F.col(id_col).alias("id"), F.col(text).alias("text"), F.coalesce(F.col(source).cast("string"), F.lit("")).alias("source"))
+    fields = [text] if isinstance(text, str) else list(text)
+    name = F.coalesce(F.col(source).cast("string"), F.lit(""))
+    d = docs.select(F.col(id_col).alias("id"), name.alias("source"), F.explode(F.array(*[F.struct(F.lit(c).alias("field"), F.col(c).cast("string").alias("text")) for c in fields])).alias("x"))
+    d = d.select("id", F.col("x.field").alias("field"), F.col("x.text").alias("text"), F.concat("x.field", F.lit("\t"), "source").alias("pool"))
     d = d.where(F.col("text").rlike(r"[^\x00-\x7F]"))
-    model = fit(d.select("text", "source"))
+    model, prior = fit(d.select("text", "pool"))
     model.known = {}
+    shipped = docs.sparkSession.sparkContext.broadcast(model)
     kind = docs.schema[id_col].dataType.simpleString()
 
     def repair(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = shipped.value
         memories: dict[str, dict] = {}
         for f in frames:
             if len(memories) > 64:
                 memories.clear()
             rows = []
-            for i, t, s in zip(f["id"], f["text"], f["source"], strict=True):
-                r = judge(t, model.prior.get(s, model.base), model, memories.setdefault(s, {}))
+            for i, field, t, s, p in f[["id", "field", "text", "pool", "p"]].itertuples(index=False):
+                r = judge(t, np.asarray(p), model, memories.setdefault(s, {}))
                 if r:
-                    rows.append((i, ",".join(r[0]), r[2], r[1]))
-            yield pd.DataFrame(rows, columns=["id", "chains", "evidence", "repaired"])
+                    rows.append((i, field, ",".join(r[0]), r[2], r[1]))
+            yield pd.DataFrame(rows, columns=["id", "field", "chains", "evidence", "repaired"])
 
-    return d.mapInPandas(repair, f"id {kind}, chains string, evidence double, repaired string")
+    return _with_prior(d, prior).mapInPandas(repair, f"id {kind}, field string, chains string, evidence double, repaired string")
