@@ -45,16 +45,15 @@ def duration_bin(seconds: Column) -> Column:
 
 
 def tier(name: Column, feed_tier: Column) -> Column:
-    """Tournament tier.  A main event counts only with its number, and never falls through to the next tier."""
-    n = F.coalesce(name, F.lit(""))
-    ti = n.rlike(r"(?i)the international")
-    numbered = n.rlike(r"(?i)the international.*\d") | n.rlike(r"International \d")
+    """Tournament tier.  A main event counts only with the year or number right behind its name, and never falls through to the next tier."""
+    n = F.trim(F.coalesce(name, F.lit("")))
+    numbered = n.rlike(r"(?i)\bthe international\s+(\d{2,4}|[1-9])\b") | n.rlike(r"International \d")
     return (
-        F.when(F.lower(F.coalesce(feed_tier, F.lit(""))).isin("excluded", "amateur", ""), OTHER)
-        .when(n.rlike(r"(?i)qualifier"), OTHER)
-        .when(ti, F.when(numbered, "TI").otherwise(OTHER))
+        F.when(F.lower(F.trim(F.coalesce(feed_tier, F.lit("")))).isin("excluded", "amateur", ""), OTHER)
+        .when(n.rlike(r"(?i)qualif"), OTHER)
+        .when(n.rlike(r"(?i)\bthe international\b"), F.when(numbered, "TI").otherwise(OTHER))
         .when(n.rlike(r"(?i)\bmajor\b"), "Major")
-        .when(n.rlike(r"(?i)\b(dpc|pro circuit)\b"), "DPC")
+        .when(n.rlike(r"(?i)\bdpc\b|dota pro circuit|\btour [123]\b"), "DPC Tour")
         .otherwise(OTHER)
     )
 
@@ -62,8 +61,7 @@ def tier(name: Column, feed_tier: Column) -> Column:
 def phase(name: Column) -> Column:
     n = F.coalesce(name, F.lit(""))
     return (
-        F.when(n.rlike(r"(?i)grand final"), "grand_final").when(n.rlike(r"(?i)\bfinals?\b"), "final")
-        .when(n.rlike(r"(?i)playoff"), "playoff").when(n.rlike(r"(?i)group stage"), "group_stage").otherwise(NO_PHASE)
+        F.when(n.rlike(r"(?i)grand final"), "grand_final").when(n.rlike(r"(?i)\bfinals?\b|playoff"), "playoffs").when(n.rlike(r"(?i)group stage"), "group_stage").otherwise(NO_PHASE)
     )
 
 

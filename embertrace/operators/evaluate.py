@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Callable, Iterator, Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -67,14 +70,14 @@ def label_metrics(df: DataFrame, by: Sequence[str], label: str, y: str, p: str)
 
 
 def multilabel_metrics(df: DataFrame, by: Sequence[str], key: str, label: str, y: str, p: str, macro: str = "all", labels: Sequence[str] = ()) -> DataFrame:
-    """micro and macro F1, Hamming loss, subset accuracy.  macro: all labels, those with positives (supported), or the given ones (listed)."""
+    """micro and macro F1 and MCC, Hamming loss, subset accuracy.  macro: all labels, those with positives (supported), or the given ones (listed)."""
     per = label_metrics(df, by, label, y, p)
     counted = {"all": F.lit(True), "supported": F.col("tp") + F.col("fn") > 0, "listed": F.col(label).isin(list(labels))}[macro]
     a = per.groupBy(*by).agg(F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"), F.sum(F.col("tp") + F.col("fp") + F.col("fn") + F.col("tn")).alias("cells"),
-                             F.avg(F.when(counted, F.col("f1"))).alias("macro_f1"), F.avg(F.when(counted, F.col("mcc"))).alias("macro_mcc"))
+                             F.avg(F.when(counted, F.col("f1"))).alias("macro_f1"), F.avg(F.when(counted, F.col("mcc"))).alias("macro_mcc"), F.sum("tn").alias("tn"))
     yy, pp = F.coalesce(F.col(y).cast("int"), F.lit(0)), F.coalesce(F.col(p).cast("int"), F.lit(0))
     rows = df.groupBy(*by, key).agg(F.bool_and(yy == pp).alias("same")).groupBy(*by).agg(F.avg(F.col("same").cast("double")).alias("subset_accuracy"))
-    return a.join(rows, list(by)).select(*by, _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("micro_f1"), "macro_f1", "macro_mcc",
+    return a.join(rows, list(by)).select(*by, _ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("micro_f1"), binary_mcc().alias("micro_mcc"), "macro_f1", "macro_mcc",
                                          ((F.col("fp") + F.col("fn")) / F.col("cells")).alias("hamming"), "subset_accuracy")
 
 
@@ -123,21 +126,47 @@ def sample_errors(df: DataFrame, key: str, cell: Sequence[str], n: int, seed: in
     return df.withColumn("_o", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_o", "_r")
 
 
-def bootstrap_accuracy(df: DataFrame, y: str, p: str, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
-    """mean, lo, hi of accuracy over resamples of the confusion cells.
+def from_cells(n: np.ndarray) -> dict[str, float]:
+    """accuracy, macro_f1 (over classes present), balanced accuracy and MCC of a confusion matrix (truth by prediction)."""
+    total, hit, t, q = n.sum(), n.diagonal().astype(float), n.sum(axis=1).astype(float), n.sum(axis=0).astype(float)
+    if not total:
+        return dict.fromkeys(METRICS, 0.0)
+    there = t + q > 0
+    den = math.sqrt((total**2 - (q**2).sum()) * (total**2 - (t**2).sum()))
+    return {"accuracy": hit.sum() / total, "macro_f1": float((2 * hit[there] / (t + q)[there]).mean()), "balanced_accuracy": float((hit[t > 0] / t[t > 0]).mean()),
+            "mcc": (hit.sum() * total - (t * q).sum()) / den if den else 0.0}
 
-    Resampling n rows with replacement draws the cells' counts from a multinomial, approximated by independent Poisson
-    weights for each cell and resample; the cost depends on cells and resamples, not on rows.
+
+METRICS = ("accuracy", "macro_f1", "balanced_accuracy", "mcc")
+
+
+def bootstrap_metrics(df: DataFrame, y: str, p: str, metric: Callable[[np.ndarray], dict[str, float]] = from_cells, resamples: int = 1000, level: float = 0.95, seed: int = 42) -> DataFrame:
+    """metric, value, mean, lo, hi over resamples, for any metrics that are a function of the confusion matrix.
+
+    Resampling n rows with replacement draws the cells' counts from a multinomial, exactly; so the cost depends on classes (whose square
+    the driver holds) and resamples, not on rows.  Resamples are spread over tasks and seeded one by one.  Without rows all are 0.
     """
-    cells = confusion(df, [], y, p).select((F.col("y") == F.col("p")).alias("hit"), "n", F.concat_ws("\t", F.col("y").cast("string"), F.col("p").cast("string")).alias("cell"))
-    draws = cells.select("hit", "n", "cell", F.explode(F.sequence(F.lit(1), F.lit(resamples))).alias("b"))
-    u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), "cell", "b"), 11).cast("double") + 0.5) / float(1 << 53)
-    v = (F.shiftrightunsigned(F.xxhash64(F.lit(seed + 1), "cell", "b"), 11).cast("double") + 0.5) / float(1 << 53)
-    normal = F.sqrt(-2 * F.log(u)) * F.cos(2 * 3.141592653589793 * v)
-    weight = F.greatest(F.col("n") + F.sqrt("n") * normal, F.lit(0.0))
-    acc = draws.withColumn("w", weight).groupBy("b").agg((F.sum(F.when(F.col("hit"), F.col("w")).otherwise(0.0)) / F.sum("w")).alias("acc"))
+    spark = df.sparkSession
+    cells = confusion(df, [], y, p).collect()
+    names = sorted({r["y"] for r in cells} | {r["p"] for r in cells}) or [""]
+    at = {x: i for i, x in enumerate(names)}
+    n = np.zeros((len(names), len(names)), dtype=np.int64)
+    for r in cells:
+        n[at[r["y"]], at[r["p"]]] = r["n"]
+    own = metric(n)
+
+    def draw(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for f in frames:
+            rows = []
+            for b in f["id"]:
+                got = np.random.default_rng([seed, int(b)]).multinomial(n.sum(), (n / max(n.sum(), 1)).ravel()).reshape(n.shape) if n.sum() else n
+                rows += [(k, float(v)) for k, v in metric(got).items()]
+            yield pd.DataFrame(rows, columns=["metric", "v"])
+
     a = (1 - level) / 2
-    return acc.agg(F.avg("acc").alias("mean"), F.percentile("acc", F.lit(a)).alias("lo"), F.percentile("acc", F.lit(1 - a)).alias("hi"))
+    of = spark.range(resamples).mapInPandas(draw, "metric string, v double").groupBy("metric").agg(F.avg("v").alias("mean"), F.percentile("v", F.lit(a)).alias("lo"), F.percentile("v", F.lit(1 - a)).alias("hi"))
+    value = F.create_map(*[F.lit(x) for kv in own.items() for x in (kv[0], float(kv[1]))])
+    return of.select("metric", F.element_at(value, F.col("metric")).alias("value"), "mean", "lo", "hi")
 
 
 def conditional_rates(df: DataFrame, hit: Column, subsets: dict[str, Column]) -> DataFrame:

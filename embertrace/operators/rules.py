@@ -52,6 +52,13 @@ def detect_language(c: Column, detector: str = "stopwords") -> Column:
         return d(c)
 
     def batch(s: pd.Series) -> pd.Series:
+        some = s.notna() & (s != "")
+        try:  # the whole batch at once; text by text only if that fails
+            found = pd.Series(d(s[some].tolist()), index=s.index[some], dtype=object)
+            return found.reindex(s.index).map(lambda x: x or "und", na_action=None).fillna("und") if len(found) else pd.Series("und", index=s.index)
+        except Exception:  # noqa: BLE001
+            pass
+
         def one(t):
             try:
                 return (d([t])[0] or "und") if t else "und"

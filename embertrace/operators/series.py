@@ -21,11 +21,11 @@ def label_series(df: DataFrame, key: Column, name: str, match: str, predicted: s
         F.round(F.avg(zero(max_prob)), 4).alias("mean_toxicity_score"), *[F.round(F.avg(zero(f)), 6).alias(f"pct_{f}") for f in flags])
 
 
-def fill_gaps(series: DataFrame, month: str) -> DataFrame:
-    """One row for every month from the first to the last; missing ones have nulls.  (A series has at most a few thousand rows.)"""
-    span = series.agg(F.min(F.to_date(F.concat(F.col(month), F.lit("-01")))).alias("a"), F.max(F.to_date(F.concat(F.col(month), F.lit("-01")))).alias("b"))
-    months = span.where("a IS NOT NULL").select(F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("d")).select(F.date_format("d", "yyyy-MM").alias(month))
-    return months.join(series, month, "left")
+def fill_gaps(series: DataFrame, month: str, by: Sequence[str] = ()) -> DataFrame:
+    """One row for every month from the first to the last of each group; missing ones have nulls."""
+    span = series.groupBy(*by).agg(F.min(F.to_date(F.concat(F.col(month), F.lit("-01")))).alias("a"), F.max(F.to_date(F.concat(F.col(month), F.lit("-01")))).alias("b"))
+    months = span.where("a IS NOT NULL").select(*by, F.explode(F.sequence("a", "b", F.expr("INTERVAL 1 MONTH"))).alias("d")).select(*by, F.date_format("d", "yyyy-MM").alias(month))
+    return months.join(series, [*by, month], "left")
 
 
 def value_counts(df: DataFrame, cols: Sequence[str], keep_null: bool = True) -> DataFrame:

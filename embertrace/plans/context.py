@@ -14,23 +14,17 @@ TOX = ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")
 
 
 def predictions(spark: SparkSession, root: str) -> DataFrame:
-    """A deterministic stand-in for model output on gold: probabilities from text length and labels, per gold row."""
-    g = table(spark, root, "gold")
-    n = F.length(F.coalesce("key", F.lit("")))
+    """The labels of gold rows as a scorer's output: prob_* of three sentiments and of six kinds of toxicity, null where a row has none."""
     s = C.clean_sentiment(F.col("sentiment"))
-    raw = [F.pmod(n * k, F.lit(11)) + F.when(s == name, 8).otherwise(1) for k, name in zip((3, 5, 7), LABELS, strict=True)]
-    total = raw[0] + raw[1] + raw[2]
-    return g.select("gold_id", "match_id", "time", "player_slot", "split", s.alias("sentiment"), "tox_toxic", "tox_insult", "is_dota_jargon",
-                    *[F.round(r / total, 6).alias(f"prob_{name}") for r, name in zip(raw, LABELS, strict=True)],
-                    F.round((F.coalesce("tox_toxic", F.lit(0)) * 6 + F.pmod(n, F.lit(7))) / 13, 6).alias("prob_toxic"),
-                    F.round((F.coalesce("tox_insult", F.lit(0)) * 6 + F.pmod(n * 2, F.lit(7))) / 13, 6).alias("prob_insult"))
+    return table(spark, root, "gold").select(
+        "gold_id", "match_id", "time", "player_slot", *[F.when(s.isNotNull(), (s == x).cast("double")).alias(f"prob_{x}") for x in LABELS],
+        *[F.col(f"tox_{x}").cast("double").alias(f"prob_{x}") for x in TOX])
 
 
-PREDICTIONS_SQL = """p AS (SELECT gold_id, match_id, time, player_slot, split, s AS sentiment, tox_toxic, tox_insult, is_dota_jargon,
-  round(a / (a + b + c), 6) AS prob_negative, round(b / (a + b + c), 6) AS prob_neutral, round(c / (a + b + c), 6) AS prob_positive,
-  round((coalesce(tox_toxic, 0) * 6 + n % 7) / 13, 6) AS prob_toxic, round((coalesce(tox_insult, 0) * 6 + (n * 2) % 7) / 13, 6) AS prob_insult
-  FROM (SELECT *, (n * 3) % 11 + CASE WHEN s = 'negative' THEN 8 ELSE 1 END AS a, (n * 5) % 11 + CASE WHEN s = 'neutral' THEN 8 ELSE 1 END AS b,
-    (n * 7) % 11 + CASE WHEN s = 'positive' THEN 8 ELSE 1 END AS c FROM (SELECT *, length(coalesce(key, '')) AS n, lower(trim(sentiment)) AS s FROM gold)))"""
+PREDICTIONS_SQL = f"""p AS (SELECT gold_id, match_id, time, player_slot, {", ".join(f"(lower(trim(sentiment)) = '{x}')::DOUBLE AS prob_{x}" for x in LABELS)},
+  {", ".join(f"tox_{x}::DOUBLE AS prob_{x}" for x in TOX)} FROM gold)"""
+ARGMAX_SQL = """CASE WHEN prob_negative IS NULL THEN NULL WHEN prob_negative >= prob_neutral AND prob_negative >= prob_positive THEN 'negative' WHEN prob_neutral >= prob_positive THEN 'neutral' ELSE 'positive' END"""
+MOST_SQL = f"greatest({', '.join(f'prob_{x}' for x in TOX)})"
 
 
 def tier_phase(spark: SparkSession, root: str) -> DataFrame:
@@ -60,9 +54,9 @@ def binned_counts(spark: SparkSession, root: str) -> DataFrame:
 
 def prediction_flags(spark: SparkSession, root: str) -> DataFrame:
     p = predictions(spark, root).withColumn("predicted", C.argmax_label([(x, F.col(f"prob_{x}")) for x in LABELS]))
-    most = F.greatest("prob_toxic", "prob_insult")
+    most = F.greatest(*[f"prob_{x}" for x in TOX])
     return p.select("gold_id", "predicted", F.round(C.sentiment_score(F.col("prob_positive"), F.col("prob_negative"), F.col("predicted")), 6).alias("score"),
-                    C.flag(F.col("prob_toxic")).alias("pred_toxic"), C.flag(F.col("prob_insult")).alias("pred_insult"), most.alias("max_prob"),
+                    *[C.flag(F.col(f"prob_{x}")).alias(f"pred_{x}") for x in TOX], most.alias("max_prob"),
                     C.flag(most).alias("any_toxic"), F.when(F.coalesce(most, F.lit(0.0)) >= 0.5, "negative").otherwise("neutral").alias("zero_shot"))
 
 
@@ -151,16 +145,18 @@ QUERIES = {f.__name__: f for f in (
     tier_phase, outcome_minutes, year_months, binned_counts, prediction_flags, sanitized_labels, game_stages, metadata_first, join_many_to_one, dictionary_join,
     asof_patch, interval_lead, multi_key_join, semi_prefilter, anti_join_gold, split_leaks, key_set_sizes, dedup_lower_text)}
 
-TIER_SQL = """CASE WHEN lower(coalesce(opendota_tier, '')) IN ('excluded', 'amateur', '') THEN 'Lainnya'
-  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)qualifier') THEN 'Lainnya'
-  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)the international') THEN CASE WHEN regexp_matches(leaguename, '(?i)the international.*\\d') OR regexp_matches(leaguename, 'International \\d') THEN 'TI' ELSE 'Lainnya' END
-  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)\\bmajor\\b') THEN 'Major' WHEN regexp_matches(coalesce(leaguename, ''), '(?i)\\b(dpc|pro circuit)\\b') THEN 'DPC' ELSE 'Lainnya' END"""
+TIER_SQL = """CASE WHEN lower(trim(coalesce(opendota_tier, ''))) IN ('excluded', 'amateur', '') THEN 'Lainnya'
+  WHEN lower(coalesce(leaguename, '')) LIKE '%qualif%' THEN 'Lainnya'
+  WHEN regexp_matches(trim(coalesce(leaguename, '')), '(?i)\\bthe international\\b') THEN CASE WHEN regexp_matches(trim(leaguename), '(?i)\\bthe international\\s+([1-9]|[0-9]{2,4})\\b')
+    OR regexp_matches(leaguename, 'International [0-9]') THEN 'TI' ELSE 'Lainnya' END
+  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)\\bmajor\\b') THEN 'Major'
+  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)(\\bdpc\\b|dota pro circuit|\\btour [1-3]\\b)') THEN 'DPC Tour' ELSE 'Lainnya' END"""
 _FIRST = "(SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY start_date_time NULLS LAST, duration NULLS LAST, radiant_win NULLS LAST, leagueid NULLS LAST) AS k FROM metadata)"
 _MINUTE = "round_even(time / 60, 2)"
 _MSG = "match_id, time, player_slot"
 ORACLES = {
     "tier_phase": f"""SELECT leagueid, {TIER_SQL} AS tier, CASE WHEN regexp_matches(coalesce(leaguename, ''), '(?i)grand final') THEN 'grand_final'
-  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)\\bfinals?\\b') THEN 'final' WHEN regexp_matches(coalesce(leaguename, ''), '(?i)playoff') THEN 'playoff'
+  WHEN regexp_matches(coalesce(leaguename, ''), '(?i)\\bfinals?\\b') THEN 'playoffs' WHEN lower(leaguename) LIKE '%playoff%' THEN 'playoffs'
   WHEN regexp_matches(coalesce(leaguename, ''), '(?i)group stage') THEN 'group_stage' ELSE 'lainnya' END AS phase FROM leagues""",
     "outcome_minutes": f"""WITH m AS (SELECT match_id, start_date_time, radiant_win FROM (SELECT *, row_number() OVER (PARTITION BY match_id ORDER BY start_date_time NULLS LAST, radiant_win NULLS LAST, duration NULLS LAST) AS k FROM metadata) WHERE k = 1)
 SELECT CASE WHEN player_slot IS NULL OR radiant_win IS NULL THEN 'unknown' WHEN (player_slot < 128) = radiant_win THEN 'win' ELSE 'loss' END AS outcome,
@@ -170,9 +166,9 @@ FROM (SELECT match_id, time, player_slot FROM processed) p LEFT JOIN m ON m.matc
 WHERE ym IS NOT NULL GROUP BY 1""",
     "binned_counts": """SELECT CASE WHEN year > 2015 AND year <= 2018 THEN '2016-2018' WHEN year > 2018 AND year <= 2021 THEN '2019-2021' WHEN year > 2021 AND year <= 2026 THEN '2022-2026' END AS years,
   CASE WHEN duration > 0 AND duration <= 1800 THEN 'short' WHEN duration > 1800 AND duration <= 2700 THEN 'medium' WHEN duration > 2700 AND duration <= 7200 THEN 'long' END AS length, count(*) AS n FROM processed GROUP BY 1, 2""",
-    "prediction_flags": f"""WITH {PREDICTIONS_SQL} SELECT gold_id, CASE WHEN prob_negative >= prob_neutral AND prob_negative >= prob_positive THEN 'negative' WHEN prob_neutral >= prob_positive THEN 'neutral' ELSE 'positive' END AS predicted,
-  round(prob_positive - prob_negative, 6) AS score, (prob_toxic >= 0.5)::INT AS pred_toxic, (prob_insult >= 0.5)::INT AS pred_insult, greatest(prob_toxic, prob_insult) AS max_prob,
-  (greatest(prob_toxic, prob_insult) >= 0.5)::INT AS any_toxic, CASE WHEN greatest(prob_toxic, prob_insult) >= 0.5 THEN 'negative' ELSE 'neutral' END AS zero_shot FROM p""",
+    "prediction_flags": f"""WITH {PREDICTIONS_SQL} SELECT gold_id, {ARGMAX_SQL} AS predicted, round(prob_positive - prob_negative, 6) AS score,
+  {", ".join(f"coalesce((prob_{x} >= 0.5)::INT, 0) AS pred_{x}" for x in TOX)}, {MOST_SQL} AS max_prob, coalesce(({MOST_SQL} >= 0.5)::INT, 0) AS any_toxic,
+  CASE WHEN coalesce({MOST_SQL}, 0) >= 0.5 THEN 'negative' ELSE 'neutral' END AS zero_shot FROM p""",
     "sanitized_labels": "SELECT gold_id, lower(trim(sentiment)) AS sentiment, " + ", ".join(f"least(greatest(coalesce(tox_{t}, 0), 0), 1) AS tox_{t}" for t in TOX)
     + ", " + " + ".join(f"least(greatest(coalesce(tox_{t}, 0), 0), 1)" for t in TOX) + " > 0 AS any_positive FROM gold",
     "game_stages": """SELECT CASE WHEN time / nullif(duration, 0) IS NULL THEN 'unknown' WHEN time < 0 THEN 'before' WHEN time / duration >= 0.95 THEN 'end' WHEN time / duration >= 0.85 THEN 'late' ELSE 'play' END AS stage, count(*) AS n FROM processed GROUP BY 1""",

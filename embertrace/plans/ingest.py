@@ -10,7 +10,7 @@ from embertrace.functions import text as T
 from embertrace.operators import joins as J
 from embertrace.operators import rules as R
 from embertrace.sources.schemas import PROCESSED, conform
-from embertrace.session import table
+from embertrace.session import cut, table
 
 
 def clean(chat: DataFrame) -> DataFrame:
@@ -25,9 +25,10 @@ def ingest(chat: DataFrame, metadata: DataFrame, leagues: DataFrame, patches: Da
     Stateless but for the joins with reduced dimensions, so no message is ever multiplied or lost after cleaning.
     """
     c = R.language_columns(clean(chat), "key", detector)
-    j = J.many_to_one(c.drop("leagueid"), metadata, ["match_id"])
+    # the patch is looked up once a match, before the messages multiply it
+    m = J.asof_clip(cut(J.keep_first(metadata, ["match_id"])), patches, "start_date_time", "date_start", "patch", "patch_name")
+    j = J.many_to_one(c.drop("leagueid"), m, ["match_id"])
     j = J.dictionary_join(j, leagues.select("leagueid", "leaguename", C.tier(F.col("leaguename"), F.col("opendota_tier")).alias("tier")), "leagueid", {"tier": C.OTHER, "leaguename": ""})
-    j = J.asof_clip(j, patches, "start_date_time", "date_start", "patch", "patch_name")
     j = j.withColumns({
         "match_outcome_for_player": C.outcome(F.col("player_slot"), F.col("radiant_win")), "match_minute": C.minute(F.col("time")), "phase": C.phase(F.col("leaguename")),
         "year": F.year("start_date_time").cast("short"), "month": F.month("start_date_time").cast("byte"), "quarter": F.quarter("start_date_time").cast("byte")})

@@ -10,7 +10,7 @@ from embertrace.functions import context as C
 from embertrace.operators import joins as J
 from embertrace.operators import series as A
 from embertrace.operators import stats as S
-from embertrace.plans.context import PREDICTIONS_SQL, predictions
+from embertrace.plans.context import ARGMAX_SQL, LABELS, MOST_SQL, PREDICTIONS_SQL, TOX, predictions
 from embertrace.session import table
 
 ERAS = (("early", "2016-01-01", "2018-12-31"), ("middle", "2019-01-01", "2021-12-31"), ("late", "2022-01-01", "2026-12-31"))
@@ -20,28 +20,26 @@ def merged(spark: SparkSession, root: str) -> DataFrame:
     """Messages with the predictions of their key, both reduced to one row a key."""
     k = list(J.MESSAGE_KEY)
     p = J.keep_first(table(spark, root, "processed").select(*k, "start_date_time", "year", "tier", "duration", "phase"), k, ["start_date_time", "year", "tier", "duration", "phase"])
-    q = J.keep_first(predictions(spark, root).select(*k, "gold_id", "prob_negative", "prob_neutral", "prob_positive", "prob_toxic", "prob_insult"), k, ["gold_id"])
+    q = J.keep_first(predictions(spark, root), k, ["gold_id"])
     j = p.join(q.drop("gold_id"), k, "left")
-    j = j.withColumn("predicted", C.argmax_label([(x, F.col(f"prob_{x}")) for x in ("negative", "neutral", "positive")]))
-    return j.withColumns({"score": C.sentiment_score(F.col("prob_positive"), F.col("prob_negative"), F.col("predicted")), "toxic": C.flag(F.col("prob_toxic")),
-                          "insult": C.flag(F.col("prob_insult")), "max_prob": F.greatest("prob_toxic", "prob_insult")})
+    j = j.withColumn("predicted", C.argmax_label([(x, F.col(f"prob_{x}")) for x in LABELS]))
+    return j.withColumns({"score": C.sentiment_score(F.col("prob_positive"), F.col("prob_negative"), F.col("predicted")), **{x: C.flag(F.col(f"prob_{x}")) for x in TOX},
+                          "max_prob": F.greatest(*[f"prob_{x}" for x in TOX])})
 
 
 MERGED_SQL = f"""{PREDICTIONS_SQL},
 pm AS (SELECT match_id, time, player_slot, start_date_time, year, tier, duration, phase FROM processed
   QUALIFY row_number() OVER (PARTITION BY match_id, time, player_slot ORDER BY start_date_time NULLS LAST, year NULLS LAST, tier NULLS LAST, duration NULLS LAST, phase NULLS LAST) = 1),
 pq AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY match_id, time, player_slot ORDER BY gold_id) = 1),
-j AS (SELECT pm.*, CASE WHEN prob_negative >= prob_neutral AND prob_negative >= prob_positive THEN 'negative' WHEN prob_neutral >= prob_positive THEN 'neutral' WHEN prob_positive IS NOT NULL THEN 'positive' END AS predicted,
-  prob_positive - prob_negative AS score, coalesce((prob_toxic >= 0.5)::INT, 0) AS toxic, coalesce((prob_insult >= 0.5)::INT, 0) AS insult, greatest(prob_toxic, prob_insult) AS max_prob
+j AS (SELECT pm.*, {ARGMAX_SQL} AS predicted, prob_positive - prob_negative AS score, {", ".join(f"coalesce((prob_{x} >= 0.5)::INT, 0) AS {x}" for x in TOX)}, {MOST_SQL} AS max_prob
   FROM pm LEFT JOIN pq ON pq.match_id = pm.match_id AND pq.time = pm.time AND pq.player_slot = pm.player_slot)"""
-_METRICS = """count(*) AS n_messages, count(DISTINCT match_id) AS n_matches, round(avg(CASE WHEN predicted = 'negative' THEN 1.0 ELSE 0 END), 6) AS pct_negative,
-  round(avg(CASE WHEN predicted = 'neutral' THEN 1.0 ELSE 0 END), 6) AS pct_neutral, round(avg(CASE WHEN predicted = 'positive' THEN 1.0 ELSE 0 END), 6) AS pct_positive,
-  round(avg(score), 4) AS mean_sentiment_score, round(avg(CASE WHEN toxic + insult > 0 THEN 1.0 ELSE 0 END), 6) AS pct_toxic_any, round(avg(coalesce(max_prob, 0)), 4) AS mean_toxicity_score,
-  round(avg(toxic), 6) AS pct_toxic, round(avg(insult), 6) AS pct_insult"""
+_METRICS = f"""count(*) AS n_messages, count(DISTINCT match_id) AS n_matches, {", ".join(f"round(avg(CASE WHEN predicted = '{x}' THEN 1.0 ELSE 0 END), 6) AS pct_{x}" for x in LABELS)},
+  round(avg(score), 4) AS mean_sentiment_score, round(avg(CASE WHEN {" + ".join(TOX)} > 0 THEN 1.0 ELSE 0 END), 6) AS pct_toxic_any, round(avg(coalesce(max_prob, 0)), 4) AS mean_toxicity_score,
+  {", ".join(f"round(avg({x}), 6) AS pct_{x}" for x in TOX)}"""
 
 
 def _series(spark, root, key, name):
-    return A.label_series(merged(spark, root), key, name, "match_id", "predicted", "score", ("negative", "neutral", "positive"), "max_prob", ("toxic", "insult"))
+    return A.label_series(merged(spark, root), key, name, "match_id", "predicted", "score", LABELS, "max_prob", TOX)
 
 
 def monthly_series(spark: SparkSession, root: str) -> DataFrame:
@@ -58,17 +56,17 @@ def _month_counts(spark, root):
 
 
 def series_gap_fill(spark: SparkSession, root: str) -> DataFrame:
-    """Annotations of one source by month, with the empty months as null rows."""
-    p = table(spark, root, "gold").where("source = 'forum_import'").select(C.year_month(F.lit(None).cast("timestamp_ntz"), F.col("year"), F.col("month")).alias("year_month")).where("year_month IS NOT NULL")
-    return A.fill_gaps(p.groupBy("year_month").agg(F.count(F.lit(1)).alias("n")), "year_month")
+    """Annotations of each source by month, with its empty months as null rows."""
+    p = table(spark, root, "gold").select(F.coalesce("source", F.lit("none")).alias("source"), C.year_month(F.lit(None).cast("timestamp_ntz"), F.col("year"), F.col("month")).alias("year_month")).where("year_month IS NOT NULL")
+    return A.fill_gaps(p.groupBy("source", "year_month").agg(F.count(F.lit(1)).alias("n")), "year_month", ["source"])
 
 
 def per_match(spark: SparkSession, root: str) -> DataFrame:
     """Per match: means, count, and the first non-null context."""
     m = merged(spark, root).where("match_id IS NOT NULL")
     first = lambda c: F.min_by(c, F.when(F.col(c).isNotNull(), F.struct("time", "player_slot", c)))
-    return m.groupBy("match_id").agg(F.round(F.avg(F.coalesce("max_prob", F.lit(0.0))), 6).alias("mean_toxicity"), F.count(F.lit(1)).alias("n"),
-                                     first("duration").alias("duration"), first("tier").alias("tier"))
+    return m.groupBy("match_id").agg(F.round(F.avg(F.coalesce("max_prob", F.lit(0.0))), 6).alias("mean_toxicity"), F.round(F.avg("score"), 6).alias("mean_sentiment"),
+                                     F.count(F.lit(1)).alias("n"), first("duration").alias("duration"), first("tier").alias("tier"), first("phase").alias("phase"))
 
 
 def year_rollup(spark: SparkSession, root: str) -> DataFrame:
@@ -94,7 +92,7 @@ def top_languages(spark: SparkSession, root: str) -> DataFrame:
 
 def corpus_profile(spark: SparkSession, root: str) -> DataFrame:
     p = table(spark, root, "processed").select("year", "tier", "lang", "match_id")
-    return p.groupBy("year", "tier", (F.col("lang") == "en").alias("english")).agg(F.count(F.lit(1)).alias("n"), F.approx_count_distinct("match_id").isNotNull().alias("has_sketch"))
+    return p.groupBy("year", "tier", (F.col("lang") == "en").alias("english")).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("match_id").alias("n_matches"))
 
 
 def label_prevalence(spark: SparkSession, root: str) -> DataFrame:
@@ -160,13 +158,15 @@ def era_tests(spark: SparkSession, root: str) -> DataFrame:
 
 
 def _series_long(spark, root):
-    m = _month_counts(spark, root).withColumn("i", F.row_number().over(Window.orderBy("year_month")) - 1)
-    return m.select("i", F.lit("matches").alias("series"), F.col("n").cast("double").alias("v")).unionByName(
-        m.select("i", F.lit("parity").alias("series"), F.pmod("n", F.lit(7)).cast("double").alias("v")))
+    d = J.keep_first(table(spark, root, "metadata").select("match_id", "start_date_time", "duration"), ["match_id"], ["start_date_time", "duration"])
+    d = d.select(C.year_month(F.col("start_date_time")).alias("year_month"), "duration").where("year_month IS NOT NULL").groupBy("year_month").agg(F.count(F.lit(1)).alias("n"), F.avg("duration").alias("v"))
+    m = d.withColumn("i", F.row_number().over(Window.orderBy("year_month")) - 1)  # a row a month
+    return m.select("i", F.lit("matches").alias("series"), F.col("n").cast("double").alias("v")).unionByName(m.select("i", F.lit("duration").alias("series"), F.round("v", 6).alias("v")).where("v IS NOT NULL"))
 
 
-_LONG_SQL = """m AS (SELECT ym, count(*) AS n FROM (SELECT strftime(min(start_date_time), '%Y-%m') AS ym FROM metadata GROUP BY match_id) WHERE ym IS NOT NULL GROUP BY 1),
-x AS (SELECT *, row_number() OVER (ORDER BY ym) - 1 AS i FROM m), l AS (SELECT i, 'matches' AS series, n::DOUBLE AS v FROM x UNION ALL SELECT i, 'parity', (n % 7)::DOUBLE FROM x)"""
+_LONG_SQL = """m AS (SELECT ym, count(*) AS n, avg(duration) AS d FROM (SELECT strftime(start_date_time, '%Y-%m') AS ym, duration FROM metadata
+    QUALIFY row_number() OVER (PARTITION BY match_id ORDER BY start_date_time NULLS LAST, duration NULLS LAST) = 1) WHERE ym IS NOT NULL GROUP BY 1),
+x AS (SELECT *, row_number() OVER (ORDER BY ym) - 1 AS i FROM m), l AS (SELECT i, 'matches' AS series, n::DOUBLE AS v FROM x UNION ALL SELECT i, 'duration', round(d, 6) FROM x WHERE d IS NOT NULL)"""
 
 
 def mann_kendall(spark: SparkSession, root: str) -> DataFrame:
@@ -186,10 +186,16 @@ def test_rows(spark: SparkSession, root: str) -> DataFrame:
 
 
 def bh_fdr(spark: SparkSession, root: str) -> DataFrame:
-    """Benjamini-Hochberg over the p-like monthly values of a small table."""
-    t = table(spark, root, "temporal_yearly").select("year", F.col("pct_toxic").alias("p")).distinct()
-    d = S.benjamini_hochberg(t, "p", 0.25)
-    return d.select("year", F.round("p_adj_bh", 9).alias("p_adj_bh"), "significant_bh")
+    """Benjamini-Hochberg over goodness-of-fit tests by month: do the three outcomes have their overall shares?  (2 degrees: p = exp(-chi2 / 2).)"""
+    names = ("win", "loss", "unknown")
+    p = table(spark, root, "processed").select("year", "month", "match_outcome_for_player").where("year IS NOT NULL AND month IS NOT NULL")
+    c = p.groupBy("year", "month").agg(*[F.count_if(F.col("match_outcome_for_player") == x).cast("double").alias(x) for x in names])
+    all_n = Window.partitionBy(F.lit(1))  # a row a month
+    n, total = F.col("win") + F.col("loss") + F.col("unknown"), sum((F.sum(x).over(all_n) for x in names), F.lit(0.0))
+    e = {x: n * F.sum(x).over(all_n) / total for x in names}
+    chi2 = sum((F.when(e[x] > 0, (F.col(x) - e[x]) ** 2 / e[x]).otherwise(0.0) for x in names), F.lit(0.0))
+    d = S.benjamini_hochberg(c.select("year", "month", F.exp(-chi2 / 2).alias("p")), "p", 0.25)
+    return d.select("year", "month", F.round("p", 9).alias("p"), F.round("p_adj_bh", 9).alias("p_adj_bh"), "significant_bh")
 
 
 def nearest_month(spark: SparkSession, root: str) -> DataFrame:
@@ -234,10 +240,11 @@ s AS (SELECT g, sum(n) AS n FROM c GROUP BY g), tt AS (SELECT ga, gb, sum(t * t
 ORACLES = {
     "monthly_series": f"WITH {MERGED_SQL} SELECT strftime(start_date_time, '%Y-%m') AS year_month, {_METRICS} FROM j WHERE start_date_time IS NOT NULL GROUP BY 1",
     "yearly_series": f"WITH {MERGED_SQL} SELECT year(start_date_time)::INT AS period_year, {_METRICS} FROM j WHERE start_date_time IS NOT NULL GROUP BY 1",
-    "series_gap_fill": """WITH s AS (SELECT year::VARCHAR || '-' || lpad(month::VARCHAR, 2, '0') AS ym, count(*) AS n FROM gold WHERE source = 'forum_import' AND year IS NOT NULL AND month IS NOT NULL GROUP BY 1),
-g AS (SELECT strftime(d, '%Y-%m') AS ym FROM (SELECT unnest(generate_series((SELECT min(ym || '-01')::TIMESTAMP FROM s), (SELECT max(ym || '-01')::TIMESTAMP FROM s), INTERVAL 1 MONTH)) AS d))
-SELECT g.ym AS year_month, s.n FROM g LEFT JOIN s ON s.ym = g.ym""",
-    "per_match": f"""WITH {MERGED_SQL} SELECT match_id, round(avg(coalesce(max_prob, 0)), 6) AS mean_toxicity, count(*) AS n,
+    "series_gap_fill": """WITH s AS (SELECT coalesce(source, 'none') AS source, year::VARCHAR || '-' || lpad(month::VARCHAR, 2, '0') AS ym, count(*) AS n FROM gold WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY 1, 2),
+g AS (SELECT source, strftime(d, '%Y-%m') AS ym FROM (SELECT source, unnest(generate_series(min(ym || '-01')::TIMESTAMP, max(ym || '-01')::TIMESTAMP, INTERVAL 1 MONTH)) AS d FROM s GROUP BY source))
+SELECT g.source, g.ym AS year_month, s.n FROM g LEFT JOIN s ON s.ym = g.ym AND s.source = g.source""",
+    "per_match": f"""WITH {MERGED_SQL} SELECT match_id, round(avg(coalesce(max_prob, 0)), 6) AS mean_toxicity, round(avg(score), 6) AS mean_sentiment, count(*) AS n,
+  first(phase ORDER BY time NULLS FIRST, player_slot NULLS FIRST, phase) FILTER (WHERE phase IS NOT NULL) AS phase,
   first(duration ORDER BY time NULLS FIRST, player_slot NULLS FIRST, duration) FILTER (WHERE duration IS NOT NULL) AS duration, first(tier ORDER BY time NULLS FIRST, player_slot NULLS FIRST, tier) FILTER (WHERE tier IS NOT NULL) AS tier
 FROM j WHERE match_id IS NOT NULL GROUP BY match_id""",
     "year_rollup": "SELECT year, month, count(*) AS n FROM processed GROUP BY ROLLUP (year, month)",
@@ -246,7 +253,7 @@ FROM j WHERE match_id IS NOT NULL GROUP BY match_id""",
   count(*) FILTER (WHERE lower(trim(sentiment)) = 'positive') AS positive FROM gold GROUP BY 1""",
     "crosstab_normalized": "SELECT tier, match_outcome_for_player, n, round(n / sum(n) OVER (PARTITION BY tier), 6) AS share FROM (SELECT tier, match_outcome_for_player, count(*) AS n FROM processed WHERE tier IS NOT NULL AND match_outcome_for_player IS NOT NULL GROUP BY ALL)",
     "top_languages": "SELECT lang, count(*) AS n, round(count(*) / (SELECT count(*) FROM processed), 6) AS share FROM processed GROUP BY lang ORDER BY n DESC, lang NULLS FIRST LIMIT 8",
-    "corpus_profile": "SELECT year, tier, lang = 'en' AS english, count(*) AS n, true AS has_sketch FROM processed GROUP BY ALL",
+    "corpus_profile": "SELECT year, tier, lang = 'en' AS english, count(*) AS n, count(DISTINCT match_id) AS n_matches FROM processed GROUP BY ALL",
     "label_prevalence": " UNION ALL ".join(f"SELECT '{x}' AS label, sum(coalesce(tox_{x}, 0))::BIGINT AS positives, round(avg(coalesce(tox_{x}, 0)), 6) AS prevalence FROM gold" for x in ("toxic", "severe_toxic", "obscene", "threat", "insult", "identity_hate")),
     "box_inputs": """SELECT patch, count(*) AS n, round(q[1], 6) AS least, round(q[2], 6) AS q1, round(q[3], 6) AS median, round(q[4], 6) AS q3, round(q[5], 6) AS most FROM (
   SELECT patch, duration, quantile_cont(duration::DOUBLE, [0, 0.25, 0.5, 0.75, 1]) OVER (PARTITION BY patch) AS q FROM metadata WHERE patch IS NOT NULL AND duration IS NOT NULL) GROUP BY patch, q""",
@@ -279,9 +286,14 @@ SELECT series, n::INT AS n, round(s / (n * (n - 1) / 2), 6) AS tau, round((s - s
   regr_syy(v, i) FILTER (WHERE i < {b}) - (regr_sxy(v, i) FILTER (WHERE i < {b})) ^ 2 / (regr_sxx(v, i) FILTER (WHERE i < {b})) AS s1,
   regr_syy(v, i) FILTER (WHERE i >= {b}) - (regr_sxy(v, i) FILTER (WHERE i >= {b})) ^ 2 / (regr_sxx(v, i) FILTER (WHERE i >= {b})) AS s2 FROM l GROUP BY series""" for b in (20, 50))
     + ") SELECT series, breakpoint, n, round(((s - s1 - s2) / 2) / ((s1 + s2) / (n - 4)), 5) AS f_statistic FROM s",
-    "bh_fdr": """WITH t AS (SELECT DISTINCT year, pct_toxic AS p FROM temporal_yearly), r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t WHERE p IS NOT NULL),
-a AS (SELECT year, min(least(1.0, p * m / k)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM r)
-SELECT t.year, round(adj, 9) AS p_adj_bh, coalesce(adj <= 0.25, false) AS significant_bh FROM t LEFT JOIN a ON a.year = t.year""",
+    "bh_fdr": """WITH c AS (SELECT year, month, count(*) FILTER (WHERE match_outcome_for_player = 'win')::DOUBLE AS w, count(*) FILTER (WHERE match_outcome_for_player = 'loss')::DOUBLE AS l,
+  count(*) FILTER (WHERE match_outcome_for_player = 'unknown')::DOUBLE AS u FROM processed WHERE year IS NOT NULL AND month IS NOT NULL GROUP BY ALL),
+o AS (SELECT sum(w) AS w, sum(l) AS l, sum(u) AS u, sum(w + l + u) AS n FROM c),
+e AS (SELECT c.*, (c.w + c.l + c.u) * o.w / o.n AS ew, (c.w + c.l + c.u) * o.l / o.n AS el, (c.w + c.l + c.u) * o.u / o.n AS eu FROM c, o),
+t AS (SELECT year, month, exp(-(CASE WHEN ew > 0 THEN (w - ew) ^ 2 / ew ELSE 0 END + CASE WHEN el > 0 THEN (l - el) ^ 2 / el ELSE 0 END + CASE WHEN eu > 0 THEN (u - eu) ^ 2 / eu ELSE 0 END) / 2) AS p FROM e),
+r AS (SELECT *, row_number() OVER (ORDER BY p) AS k, count(*) OVER () AS m FROM t),
+a AS (SELECT *, min(least(1.0, p * m / k)) OVER (ORDER BY k ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS adj FROM r)
+SELECT year, month, round(p, 9) AS p, round(adj, 9) AS p_adj_bh, adj <= 0.25 AS significant_bh FROM a""",
     "nearest_month": f"""WITH {_LONG_SQL.split(', l AS')[0]} SELECT patch, date_start, arg_min(i, (abs(date_diff('day', (ym || '-01')::DATE, date_start::DATE)) * 100000 + i)) AS i
 FROM (SELECT DISTINCT patch, date_start FROM patch_map) CROSS JOIN x GROUP BY patch, date_start""",
 }

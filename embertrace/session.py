@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,17 +33,21 @@ def table(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder: the session's own setting, or a local one where it is unset."""
+    """The shared checkpoint folder: the session's own setting; where it is unset, a local one in local mode and an error on a cluster."""
     sc = spark.sparkContext
     at = sc._jsc.sc().getCheckpointDir()
     if at.isDefined():
         return at.get()
-    given = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="embertrace-checkpoint-")
+    given = spark.conf.get("spark.checkpoint.dir", None)
+    if not given:
+        if not re.fullmatch(r"local(\[[^,\]]*(,\d+)?\])?", sc.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        given = tempfile.mkdtemp(prefix="embertrace-checkpoint-")  # one process: nobody else needs it
     sc.setCheckpointDir(given)
     return given
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder (never a local one)."""
+    """Cut lineage through a reliable checkpoint in the shared folder.  Eager: building a plan that is cut runs a job."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)

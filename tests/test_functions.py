@@ -30,11 +30,11 @@ def test_bins_are_right_closed(spark):
 def test_tier_and_phase(spark):
     names = ["The International 2019", "The International 10", "The International League", "X Major Qualifier", "X Major", "DPC 2021 Tour 1", None, "The International Major"]
     got = one(spark, [(n, "professional") for n in names], "n string, t string", C.tier(F.col("n"), F.col("t")))
-    assert [g[0] for g in got] == ["TI", "TI", C.OTHER, C.OTHER, "Major", "DPC", C.OTHER, C.OTHER]
+    assert [g[0] for g in got] == ["TI", "TI", C.OTHER, C.OTHER, "Major", "DPC Tour", C.OTHER, C.OTHER]
     got = one(spark, [("X Major", t) for t in ("excluded", "amateur", "", None, "premium")], "n string, t string", C.tier(F.col("n"), F.col("t")))
     assert [g[0] for g in got] == [C.OTHER] * 4 + ["Major"]
     got = one(spark, [(n,) for n in ("Grand Final", "Finals", "Semifinals", "Playoffs", "Group Stage", None)], "n string", C.phase(F.col("n")))
-    assert [g[0] for g in got] == ["grand_final", "final", C.NO_PHASE, "playoff", "group_stage", C.NO_PHASE]
+    assert [g[0] for g in got] == ["grand_final", "playoffs", C.NO_PHASE, "playoffs", "group_stage", C.NO_PHASE]
 
 
 def test_slang(spark):
