@@ -17,8 +17,27 @@ STOP_WORDS = {
     "pt": "o a que de em um uma por com os para nao se do da no", "fr": "le la que de en un une par avec les pour ne est se du des",
     "de": "der die das und ist nicht ein eine mit den zu auf wir ich sie", "id": "yang di dan itu ini tidak dengan untuk dari kita saya sudah lagi",
 }
-STRONG_ID = ("yang", "kita", "sudah", "tidak", "dengan", "untuk", "gak", "lagi", "saya", "kenapa")
-WEAK_ID = ("di", "dan", "itu", "ini", "dari", "ke", "sama", "aja", "lu", "gua")
+#: Words that only Indonesian chat has, and its function words.
+STRONG_ID = tuple((
+    "wkwk wkwkwk mantap cupu gabut mabar gass lu gw gue gua lo sih dong deh kok banget bgt aja doang kalo klo nggak ngga gak udah udh dah belum blm jangan jgn "
+    "kenapa knp gimana gmn gausah percuma bro gan om mas kak cuy beng mksh makasih maaf punten parah").split())
+WEAK_ID = tuple((
+    "yang sama sm dgn utk untuk dari dr ke di saya aku kamu anda kita kami mereka dia lu lo elu gw gue gua gwa tidak ngga nggak gak ga kagak engga enggak gk tak "
+    "sih dong deh kok kan aja doang lagi lg masih msh terus trs udah udh dah belum blm blom bgt banget bisa bs mau pengen pgn kalo kalau klo ada gada punya jadi jd biar "
+    "kenapa knp gimana gmn apa apaan siapa mana main maen menang mng kalah klh lawan lwn parah mantap mantul mantab cupu gabut anjr njir lah kek gas gass mabar "
+    "bro brok bg gan om mas mbak kak cuy beng bang sabar tenang santai maaf mf punten makasih mksh mksih salah gausah percuma").split())
+#: Parts of Indonesian messages that decide a proposal, in the order of the cascade.
+PROPOSALS = (
+    ("negative", "high", "complaint", ("cupu", "parah", "gabut", "percuma", "gausah")),
+    ("borderline", "ASK", "borderline", (
+        "mati aja", "mati lu", "gue muted", "gua muted", "bisulan", "ngmng doang", "ngomong doang", "ngomong aja", "kamu ngmng", "kamu doang", "muncrat", "jahat",
+        "goblog", "bodoh", "jelek", "ngebacot", "ngebacooot")),
+    ("neutral", "high", "break", (
+        "maghrib", "sholat", "mandi dulu", "mandi dl", "mandi sek", "makan dl", "makan dulu", "makan sek", "pulang dulu", "pergi dl", "pergi dulu", "wc dl", "wc dulu", "toilet")),
+    ("positive", "high", "friendly", (
+        "mantap", "mantul", "mantab", "sabar bang", "sabar bro", "tenang", "sippp", "sip ", "sip!", "oke deh", "okee deh", "takpe", "mksh", "makasih", "maaf", "punten")),
+)
+QUESTION_ID = r"\b(kenapa|knp|gimana|gmn|siapa|mana)\b|[?]"
 
 
 def is_short_english(c: Column, most: int = 5) -> Column:
@@ -151,19 +170,6 @@ def chat_rules(key: str = "key", outcome: str = "match_outcome_for_player", time
     return RuleSet(rules, TOX)
 
 
-def residual_label(key: Column, outcome: Column) -> Column:
-    """(label, confidence in high, medium, low, ASK) for what no rule caught."""
-    toks = T.alpha_tokens(F.coalesce(key, F.lit("")))
-    bad = F.arrays_overlap(toks, F.array(*[F.lit(b) for b in T.BLOCKERS]))
-    good = F.exists(toks, lambda t: t.isin("nice", "wp", "good", "best", "thanks", "love", "great"))
-    pair = lambda a, b: F.struct(F.lit(a).alias("label"), F.lit(b).alias("confidence"))
-    return (
-        F.when(F.size(toks) == 0, pair("neutral", "high")).when(bad & good, pair("neutral", "ASK")).when(bad, pair("negative", "high"))
-        .when(good & (outcome == "win"), pair("positive", "high")).when(good, pair("positive", "medium"))
-        .when(F.size(toks) <= 2, pair("neutral", "medium")).otherwise(pair("neutral", "low"))
-    )
-
-
 def score_in_batches(df: DataFrame, keys: Sequence[str], text: str, load, labels: Sequence[str]) -> DataFrame:
     """Plug-in scorer: ``load()`` runs once per task and returns texts -> rows of probabilities; keys travel with the rows."""
     fields = {f.name: f.dataType.simpleString() for f in df.schema.fields}
@@ -191,15 +197,13 @@ def lexicon_scorer():
 
 
 def propose_indonesian(c: Column) -> Column:
-    """(label, confidence, reason) for Indonesian messages: blocked words, markers of frustration, questions, else a guess."""
-    toks = T.alpha_tokens(F.coalesce(c, F.lit("")))
-    has = lambda *ws: F.exists(toks, lambda t: t.isin(*ws))
+    """(label, confidence, reason) for Indonesian messages, by the first part that occurs: laughter, ``PROPOSALS`` in order, questions, else talk."""
+    low = F.lower(c)
     say = lambda a, b, r: F.struct(F.lit(a).alias("label"), F.lit(b).alias("confidence"), F.lit(r).alias("reason"))
-    return (
-        F.when(F.arrays_overlap(toks, F.array(*[F.lit(b) for b in T.BLOCKERS])), say("negative", "high", "blocked word"))
-        .when(has("kenapa", "malah"), say("negative", "medium", "complaint")).when(has("bisa", "ambil", "jaga"), say("neutral", "medium", "plan"))
-        .when(F.size(toks) <= 1, say("neutral", "low", "one word")).otherwise(say("neutral", "ASK", "unclear"))
-    )
+    out = F.when(low.isNull(), say("neutral", "low", "no text")).when(low.rlike(r"\bwkwk"), say("positive", "high", "laughter"))
+    for label, confidence, reason, parts in PROPOSALS:
+        out = out.when(low.rlike("|".join(parts)), say(label, confidence, reason))
+    return out.when(low.rlike(QUESTION_ID), say("neutral", "medium", "question")).otherwise(say("neutral", "medium", "talk"))
 
 
 def apply_proposals(df: DataFrame, text: str, proposal: str, corrections: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ from embertrace.operators import agreement as G
 from embertrace.operators import evaluate as E
 from embertrace.operators import joins as J
 from embertrace.operators import sampling as N
-from embertrace.operators.rules import STRONG_ID, WEAK_ID, apply_proposals, chat_rules, is_indonesian, lexicon_scorer, propose_indonesian, score_in_batches
+from embertrace.operators.rules import PROPOSALS, QUESTION_ID, STRONG_ID, WEAK_ID, apply_proposals, chat_rules, is_indonesian, lexicon_scorer, propose_indonesian, score_in_batches
 from embertrace.plans.context import LABELS, TOX
 from embertrace.plans.text import _S, _alpha, _list, _q, _rules_sql, _strip
 from embertrace.session import cut, table
@@ -363,9 +363,9 @@ SELECT panel, n_items, round((pa - (p1 * p1 + (1 - p1) * (1 - p1))) / nullif(rou
   SELECT gold_id, row_number() OVER (ORDER BY md5('7:' || gold_id), gold_id) AS k, count(*) OVER () AS t FROM gold) GROUP BY 1""",
     "proposals_applied": f"""WITH t AS (SELECT key, {_alpha("coalesce(key, '')")} AS toks FROM enriched_gold_labeled),
 i AS (SELECT * FROM t WHERE list_has_any(toks, {_list(STRONG_ID)}) OR (len(toks) >= 2 AND len(list_filter(toks, lambda t: list_contains({_list(STRONG_ID + WEAK_ID)}, t))) / len(toks) >= 0.3)),
-p AS (SELECT key, CASE WHEN list_has_any(toks, {_list(T.BLOCKERS)}) THEN 'blocked word' WHEN list_has_any(toks, ['kenapa', 'malah']) THEN 'complaint' WHEN list_has_any(toks, ['bisa', 'ambil', 'jaga']) THEN 'plan'
-  WHEN len(toks) <= 1 THEN 'one word' ELSE 'unclear' END AS reason FROM i), f AS (SELECT text, min(lower(trim(sentiment))) AS c FROM gold WHERE text <> '' AND sentiment IS NOT NULL GROUP BY 1)
-SELECT reason, CASE reason WHEN 'blocked word' THEN coalesce(c, 'negative') WHEN 'complaint' THEN 'negative' WHEN 'plan' THEN 'neutral' WHEN 'unclear' THEN coalesce(c, 'neutral') END AS label, count(*) AS n
+p AS (SELECT key, CASE WHEN key IS NULL THEN 'no text' WHEN regexp_matches(lower(key), '\\bwkwk') THEN 'laughter' {" ".join(f"WHEN regexp_matches(lower(key), {_q('|'.join(parts))}) THEN '{reason}'" for _, _, reason, parts in PROPOSALS)}
+  WHEN regexp_matches(lower(key), {_q(QUESTION_ID)}) THEN 'question' ELSE 'talk' END AS reason FROM i), f AS (SELECT text, min(lower(trim(sentiment))) AS c FROM gold WHERE text <> '' AND sentiment IS NOT NULL GROUP BY 1)
+SELECT reason, CASE reason WHEN 'laughter' THEN coalesce(c, 'positive') {" ".join(f"WHEN '{reason}' THEN coalesce(c, '{'neutral' if conf == 'ASK' else label}')" for label, conf, reason, _ in PROPOSALS)} WHEN 'question' THEN 'neutral' WHEN 'talk' THEN 'neutral' END AS label, count(*) AS n
 FROM p LEFT JOIN f ON f.text = p.key GROUP BY ALL""",
     "majority_vote": f"WITH v AS ({_SV}), {_MAJ} SELECT text, consensus, {_CONF} AS confidence, n_votes::BIGINT AS n_votes FROM mj",
     "consolidate": f"""WITH {_VOTES}, sv AS ({_SV}), {_MAJ.replace('FROM v', 'FROM sv')},

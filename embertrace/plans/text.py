@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from embertrace.functions import text as T
+from embertrace.operators import message_labels as M
 from embertrace.operators import rules as R
 from embertrace.session import table
 
@@ -97,9 +98,19 @@ def rule_label_counts(spark: SparkSession, root: str) -> DataFrame:
     return p.select(F.coalesce(R.chat_rules().label()["category"], F.lit("none")).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
+def message_labels(spark: SparkSession, root: str) -> DataFrame:
+    """Messages of all kinds by the 21 categories: rows, and sums of their flags."""
+    p = table(spark, root, "processed").select("key", "match_outcome_for_player", "time", "duration")
+    x = p.select(M.message_label(F.col("key"), F.col("time"), F.col("duration"), F.col("match_outcome_for_player")).alias("x")).select("x.*")
+    sums = [F.coalesce(F.sum(c), F.lit(0)).cast("long").alias(c) for c in (*R.TOX, "is_jargon", "is_ambiguous")]
+    return x.groupBy(F.coalesce("category", F.lit("none")).alias("category"), F.coalesce("sentiment", F.lit("none")).alias("sentiment_label")).agg(F.count(F.lit(1)).alias("n"), *sums)
+
+
 def residual_labels(spark: SparkSession, root: str) -> DataFrame:
-    p = table(spark, root, "processed").select("key", "match_outcome_for_player")
-    return p.select(R.residual_label(F.col("key"), F.col("match_outcome_for_player")).alias("x")).groupBy("x.label", "x.confidence").agg(F.count(F.lit(1)).alias("n"))
+    """Messages that the 21 categories leave, by the residual tiers."""
+    p = table(spark, root, "processed").select("key", "match_outcome_for_player", "time", "duration")
+    p = p.where(M.message_label(F.col("key"), F.col("time"), F.col("duration"), F.col("match_outcome_for_player")).isNull())
+    return p.select(M.residual_label(F.col("key")).alias("x")).groupBy("x.category", "x.sentiment", "x.confidence").agg(F.count(F.lit(1)).alias("n"))
 
 
 def lexicon_scores(spark: SparkSession, root: str) -> DataFrame:
@@ -108,7 +119,7 @@ def lexicon_scores(spark: SparkSession, root: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (
     clean_messages, clean_counts, nfkc_normalize, text_norms, lexicon_flags, translate_slang, slang_coverage, game_tokens, export_text,
-    lang_short_circuit, lang_split_counts, lang_markers, rule_labels, rule_label_counts, residual_labels, lexicon_scores)}
+    lang_short_circuit, lang_split_counts, lang_markers, rule_labels, rule_label_counts, message_labels, residual_labels, lexicon_scores)}
 
 _S = T.SPACE
 
@@ -197,6 +208,8 @@ _NOTES = "CASE category WHEN 'ez_win' THEN 'taunt by the winner' WHEN 'ez_other'
 _GOOD = ("nice", "wp", "good", "best", "thanks", "love", "great")
 
 ORACLES = {
+    "message_labels": f"""SELECT coalesce(category, 'none') AS category, coalesce(sentiment_label, 'none') AS sentiment_label, count(*) AS n, {", ".join(f"coalesce(sum({c}), 0)::BIGINT AS {c}" for c in (*R.TOX, "is_jargon", "is_ambiguous"))}
+FROM {M.message_label_sql("(SELECT key, match_outcome_for_player, time, duration FROM processed)")} GROUP BY ALL""",
     "clean_messages": f"""SELECT match_id, time, player_slot, k AS key, lower(k) AS key_lower FROM (
   SELECT match_id, time, player_slot, {_strip("coalesce(key, '')")} AS k FROM processed WHERE lower(coalesce(type, '')) <> 'chatwheel') WHERE k <> ''""",
     "clean_counts": f"""SELECT count(*) AS n_in, count(*) FILTER (WHERE w) AS n_wheel, count(*) FILTER (WHERE NOT w AND e) AS n_empty, count(*) FILTER (WHERE NOT w AND NOT e) AS n_out
@@ -229,9 +242,6 @@ SELECT idx, array_to_string(list_filter([
   (category IN ('insult', 'ez_win', 'obscene'))::INT AS toxic, (category IN ('insult', 'ez_win'))::INT AS insult, (category = 'obscene')::INT AS obscene, {_NOTES} AS note
 FROM ({_rules_sql('gold')}) WHERE category IS NOT NULL""",
     "rule_label_counts": f"SELECT coalesce(category, 'none') AS category, count(*) AS n FROM ({_rules_sql('processed')}) GROUP BY 1",
-    "residual_labels": f"""WITH t AS (SELECT {_alpha("coalesce(key, '')")} AS toks, match_outcome_for_player AS o FROM processed),
-b AS (SELECT *, list_has_any(toks, {_list(T.BLOCKERS)}) AS bad, list_has_any(toks, {_list(_GOOD)}) AS good FROM t),
-l AS (SELECT CASE WHEN len(toks) = 0 THEN ['neutral', 'high'] WHEN bad AND good THEN ['neutral', 'ASK'] WHEN bad THEN ['negative', 'high']
-  WHEN good AND o = 'win' THEN ['positive', 'high'] WHEN good THEN ['positive', 'medium'] WHEN len(toks) <= 2 THEN ['neutral', 'medium'] ELSE ['neutral', 'low'] END AS x FROM b)
-SELECT x[1] AS label, x[2] AS confidence, count(*) AS n FROM l GROUP BY ALL""",
+    "residual_labels": f"""SELECT category, sentiment, confidence, count(*) AS n
+FROM {M.residual_label_sql(f"(SELECT key FROM {M.message_label_sql('(SELECT key, match_outcome_for_player, time, duration FROM processed)')} WHERE category IS NULL)")} GROUP BY ALL""",
 }
