@@ -109,7 +109,7 @@ def test_every_pair_with_few_changed_places_is_found_at_any_length(spark):
     r = random.Random(21)
     rows, want = [], set()
     for n in [*range(12, 60), 64, 66, 80, 99, 104, 106, 107, 130, 167, 170, 260, 420, 900, 2500]:
-        for places in (1, 2, 3):
+        for places in (1, 2, 3, 4):
             t = "".join(r.choice("etaoinshrdlu") for _ in range(n))
             u = changed(r, t, min(places, n // 5), max(1, int(n * 0.2)))
             rows += [(len(rows), t, "train"), (len(rows) + 1, u, "test")]
