@@ -52,8 +52,8 @@ def interval_ends(points: DataFrame, start: str, last: str = "2099-12-31 00:00:0
 def asof_clip(left: DataFrame, points: DataFrame, time: str, start: str, value: str, out: str) -> DataFrame:
     """The value of the latest start <= time; times before the first start get the first; null stays null.
 
-    Of equal starts the greatest value counts.  Points become closed intervals, joined by period (see ``as_known_join``), so both
-    sides may be large; only the first point is looked up on the driver.
+    Of equal starts the greatest value counts.  Points become closed intervals by one sort (a dimension), joined by period (see
+    ``as_known_join``); ``left`` may be large.
     """
     line = points.where(F.col(start).isNotNull()).groupBy(F.col(start).alias("_s")).agg(F.max(value).alias("_v"))
     first = line.agg(F.min("_s"), F.min_by("_v", "_s")).first()

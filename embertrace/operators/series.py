@@ -42,8 +42,8 @@ def row_shares(df: DataFrame, a: str, b: str) -> DataFrame:
 def top_shares(df: DataFrame, col: str, k: int) -> DataFrame:
     """The k most frequent values (ties by value) and their shares of all rows."""
     c = df.groupBy(col).agg(F.count(F.lit(1)).alias("n"))
-    total = F.sum("n").over(Window.partitionBy(F.lit(1)))
-    return c.withColumn("share", F.round(F.col("n") / total, 6)).orderBy(F.desc("n"), F.asc_nulls_first(col)).limit(k)
+    top = c.orderBy(F.desc("n"), F.asc_nulls_first(col)).limit(k)
+    return top.withColumn("share", F.round(F.col("n") / df.agg(F.count(F.lit(1))).scalar(), 6))
 
 
 def five_numbers(df: DataFrame, group: str, value: str) -> DataFrame:

@@ -10,24 +10,28 @@ from pyspark.sql import functions as F
 
 from embertrace.functions import context as C
 from embertrace.operators.joins import interval_ends
+from embertrace.sources import files
 from embertrace.sources.schemas import CHAT, METADATA, conform
 
 
-def folders_with(root: str, folders: Sequence[str], *files: str) -> list[str]:
+def folders_with(root: str, folders: Sequence[str], *wanted: str) -> list[str]:
     """The folders that hold all the files; others are skipped by the caller's policy."""
-    return [f for f in folders if all(os.path.exists(os.path.join(root, f, x)) for x in files)]
+    return [f for f in folders if all(files.exists(os.path.join(root, f, x)) for x in wanted)]
 
 
 def _one_by_one(paths: Sequence[str]) -> list[str]:
-    missing = [p for p in paths if "://" not in p and not os.path.exists(p)]
+    missing = [p for p in paths if not files.exists(p)]
     if missing:
         raise FileNotFoundError(", ".join(missing))
     return list(paths)
 
 
-def read_chat(spark: SparkSession, root: str, folders: Sequence[str], file: str = "chat.csv") -> DataFrame:
-    """All folders in one scan with explicit types; ``source_folder`` comes from the file's path."""
-    df = spark.read.schema(CHAT).option("header", True).option("multiLine", True).option("escape", '"').csv(_one_by_one([os.path.join(root, f, file) for f in folders]))
+def read_chat(spark: SparkSession, root: str, folders: Sequence[str], file: str = "chat.csv", multi_line: bool = True) -> DataFrame:
+    """All folders in one scan with explicit types; ``source_folder`` comes from the file's path.
+
+    With ``multi_line`` (line breaks inside quotes) a file is one task whatever its size; without, files are split.
+    """
+    df = spark.read.schema(CHAT).option("header", True).option("multiLine", multi_line).option("escape", '"').csv(_one_by_one([os.path.join(root, f, file) for f in folders]))
     return df.withColumn("source_folder", F.regexp_extract("_metadata.file_path", rf"([^/]+)/{file.replace('.', chr(92) + '.')}$", 1))
 
 
@@ -43,7 +47,7 @@ def read_metadata(spark: SparkSession, root: str, folders: Sequence[str], file:
 
 def read_stage(spark: SparkSession, root: str, exclude_suffix: str = "_non_english", columns: Sequence[str] | None = None) -> DataFrame:
     """Union of the parquet tables below ``root`` in name order, without the excluded ones; an error if there is none."""
-    names = sorted(n for n in os.listdir(root) if n.endswith(".parquet") and not n[: -len(".parquet")].endswith(exclude_suffix))
+    names = sorted(n for n in files.names(root) if n.endswith(".parquet") and not n[: -len(".parquet")].endswith(exclude_suffix))
     if not names:
         raise FileNotFoundError(f"no stage table below {root}")
     df = spark.read.option("mergeSchema", True).parquet(*[os.path.join(root, n) for n in names])
@@ -51,7 +55,7 @@ def read_stage(spark: SparkSession, root: str, exclude_suffix: str = "_non_engli
 
 
 def read_optional(spark: SparkSession, path: str) -> DataFrame | None:
-    return spark.read.parquet(path) if os.path.exists(path) else None
+    return spark.read.parquet(path) if files.exists(path) else None
 
 
 def read_annotations(spark: SparkSession, root: str, labels: Sequence[str]) -> DataFrame:

@@ -4,15 +4,19 @@ from __future__ import annotations
 
 import csv
 import hashlib
+import io
 import json
 import os
 import time
 from collections.abc import Sequence
 from dataclasses import dataclass
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from embertrace.session import cut
+from embertrace.sources import files
 from embertrace.sources.schemas import PROCESSED, conform
 
 
@@ -25,19 +29,13 @@ class WriteStats:
 
 
 def file_hash(path: str) -> str:
-    h = hashlib.sha256()
-    with open(path, "rb") as f:
-        for part in iter(lambda: f.read(1 << 20), b""):
-            h.update(part)
-    return h.hexdigest()
+    return files.digest(path)
 
 
 def sources_hash(*paths: str) -> str:
     """Hash of the files' paths and contents, in path order; folders count with all their files."""
-    files: list[str] = []
-    for p in paths:
-        files += [os.path.join(d, f) for d, _, fs in os.walk(p) for f in fs] if os.path.isdir(p) else [p]
-    return hashlib.sha256("".join(f"{p}|{file_hash(p)}\n" for p in sorted(files)).encode()).hexdigest()
+    every = sorted(f for p in paths for f in files.files_below(p))
+    return hashlib.sha256("".join(f"{p}|{file_hash(p)}\n" for p in every).encode()).hexdigest()
 
 
 def content_hash(df: DataFrame) -> str:
@@ -56,30 +54,30 @@ def _sidecar(path: str) -> str:
 
 def write_stage(df: DataFrame, path: str, hash_of_sources: str, *, overwrite: bool = False, schema=PROCESSED, partition_by: Sequence[str] = ()) -> WriteStats:
     """Conform and write, unless the sidecar says that the same sources were written already; a broken sidecar means writing again."""
-    if not overwrite and os.path.exists(path):
+    if not overwrite and files.exists(path):
         try:
-            with open(_sidecar(path), encoding="utf-8") as f:
-                meta = json.load(f)
+            meta = json.loads(files.read_text(_sidecar(path)))
             if meta["sources_hash"] == hash_of_sources:
                 return WriteStats(path, False, int(meta["rows"]), hash_of_sources)
-        except (OSError, ValueError, KeyError, TypeError):
+        except (OSError, ValueError, KeyError, TypeError, Py4JJavaError):
             pass
     w = conform(df, schema).write.mode("overwrite")
     (w.partitionBy(*partition_by) if partition_by else w).parquet(path)
-    rows = df.sparkSession.read.parquet(path).count()
-    with open(_sidecar(path), "w", encoding="utf-8") as f:
-        json.dump({"sources_hash": hash_of_sources, "rows": rows, "schema": [x.name for x in schema.fields]}, f, indent=1)
+    done = df.sparkSession.read.parquet(path)
+    rows = done.count()
+    files.write_text(_sidecar(path), json.dumps({"sources_hash": hash_of_sources, "rows": rows, "output_hash": content_hash(done), "schema": [x.name for x in schema.fields]}, indent=1))
     return WriteStats(path, True, rows, hash_of_sources)
 
 
 def write_both_languages(df: DataFrame, english_path: str, other_path: str, hash_of_sources: str, overwrite: bool = False) -> tuple[WriteStats, WriteStats]:
-    """Two complementary sinks by ``lang``; the other one is written even when empty."""
+    """Two complementary sinks by ``lang``; the other one is written even when empty.  The plan runs once: its result is cut."""
+    df = cut(df)
     en = F.coalesce(F.col("lang") == "en", F.lit(False))
     return (write_stage(df.where(en), english_path, hash_of_sources, overwrite=overwrite), write_stage(df.where(~en), other_path, hash_of_sources, overwrite=overwrite))
 
 
 def write_if_absent(df: DataFrame, path: str) -> bool:
-    if os.path.exists(path):
+    if files.exists(path):
         return False
     df.write.parquet(path)
     return True
@@ -91,24 +89,22 @@ def write_report(df: DataFrame, path: str) -> None:
     if path.endswith(".md"):
         show = lambda v: "" if v is None else f"{v:.4f}" if isinstance(v, float) else str(v)
         lines = ["| " + " | ".join(df.columns) + " |", "|" + " --- |" * len(df.columns), *["| " + " | ".join(show(v) for v in r) + " |" for r in rows]]
-        with open(path, "w", encoding="utf-8") as f:
-            f.write("\n".join(lines) + "\n")
+        files.write_text(path, "\n".join(lines) + "\n")
         return
-    with open(path, "w", newline="", encoding="utf-8") as f:
-        w = csv.writer(f)
-        w.writerow(df.columns)
-        w.writerows(rows)
+    out = io.StringIO(newline="")
+    w = csv.writer(out)
+    w.writerow(df.columns)
+    w.writerows(rows)
+    files.write_text(path, out.getvalue())
 
 
 def update_manifest(path: str, parts: dict[str, str]) -> dict:
     """Write the parts' hashes and their folded hash; returns what a differing earlier manifest said ({} if none)."""
     before = {}
-    if os.path.exists(path):
-        with open(path, encoding="utf-8") as f:
-            before = json.load(f)
+    if files.exists(path):
+        before = json.loads(files.read_text(path))
     now = {"parts": parts, "manifest_hash": folded_hash(parts)}
-    with open(path, "w", encoding="utf-8") as f:
-        json.dump(now, f, indent=1, sort_keys=True)
+    files.write_text(path, json.dumps(now, indent=1, sort_keys=True))
     return before if before and before.get("manifest_hash") != now["manifest_hash"] else {}
 
 
