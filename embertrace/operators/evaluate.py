@@ -10,8 +10,8 @@ import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
+from embertrace.operators.sampling import ranked
 from embertrace.operators.stats import running_before
 
 
@@ -120,10 +120,8 @@ def error_rate_by(df: DataFrame, y: str, p: str, flag: str) -> DataFrame:
 
 
 def sample_errors(df: DataFrame, key: str, cell: Sequence[str], n: int, seed: int = 42) -> DataFrame:
-    """At most ``n`` rows of each cell, by a seeded hash of the key that other engines compute too."""
-    order = F.md5(F.concat(F.lit(str(seed)), F.lit(":"), F.col(key).cast("string")))
-    w = Window.partitionBy(*cell).orderBy("_o", key)
-    return df.withColumn("_o", order).withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_o", "_r")
+    """At most ``n`` rows of each cell, by a seeded hash of the key that other engines compute too; no cell is sorted whole in one task."""
+    return ranked(df, list(cell), key, seed).where(F.col("_rank") <= n).drop("_rank")
 
 
 def from_cells(n: np.ndarray) -> dict[str, float]:
