@@ -35,7 +35,7 @@ def _nfkc_batch(s: pd.Series) -> pd.Series:
 
 def nfkc(c: Column | str) -> Column:
     """NFKC; null becomes ''.  ASCII texts pass untouched."""
-    return F.pandas_udf(_nfkc_batch, "string")(c)
+    return F.pandas_udf(_nfkc_batch, "string").asNondeterministic()(c)  # so that a filter on the result makes no second copy of the UDF
 
 
 def norm_full(c: Column) -> Column:

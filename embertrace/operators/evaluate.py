@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from embertrace.operators.sampling import ranked
 from embertrace.operators.stats import running_before
+from embertrace.session import cut
 
 
 def _ratio(a: Column, b: Column) -> Column:
@@ -37,7 +38,7 @@ def class_scores(cells: DataFrame, by: Sequence[str]) -> DataFrame:
 
 def multiclass_metrics(df: DataFrame, by: Sequence[str], y: str, p: str) -> DataFrame:
     """accuracy, macro F1/precision/recall over classes present, balanced accuracy, MCC per group."""
-    cells = confusion(df, by, y, p)
+    cells = cut(confusion(df, by, y, p))  # classes squared; the rows are read once
     per = class_scores(cells, by)
     macro = per.groupBy(*by).agg(F.avg("f1").alias("macro_f1"), F.avg("precision").alias("macro_precision"), F.avg("recall").alias("macro_recall"),
                                  F.avg(F.when(F.col("support") > 0, F.col("recall"))).alias("balanced_accuracy"))

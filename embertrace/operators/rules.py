@@ -47,10 +47,11 @@ def is_short_english(c: Column, most: int = 5) -> Column:
 
 def stop_word_language(c: Column) -> Column:
     """Deterministic default detector: the language with most stop words (first of equals), Cyrillic is ru, else und."""
-    toks = T.tokens(F.lower(F.coalesce(c, F.lit(""))))
-    hits = lambda words: F.size(F.filter(toks, lambda t: t.isin(*words.split())))
-    score = [(lang, hits(words)) for lang, words in STOP_WORDS.items()]
-    best = F.greatest(*[F.struct(n.alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, n) in enumerate(score)])
+    def most(toks: Column) -> Column:
+        hits = lambda words: F.size(F.filter(toks, lambda t: t.isin(*words.split())))
+        return F.greatest(*[F.struct(hits(words).alias("n"), F.lit(-i).alias("i"), F.lit(lang).alias("lang")) for i, (lang, words) in enumerate(STOP_WORDS.items())])
+
+    best = F.transform(F.array(T.tokens(F.lower(F.coalesce(c, F.lit(""))))), most)[0]  # binds the tokens, so they are split once
     return F.when(F.coalesce(c, F.lit("")).rlike(r"[\x{0400}-\x{04FF}]"), "ru").when(best["n"] > 0, best["lang"]).otherwise("und")
 
 
