@@ -119,6 +119,42 @@ def test_every_pair_with_few_changed_places_is_found_at_any_length(spark):
     assert got >= want and len(want) > 120
 
 
+def test_edits_scattered_over_the_whole_text_are_found(spark):
+    r = random.Random(23)
+    rows, want = [], set()
+    for n in (10, 12, 18, 30, 50, 80, 120, 200, 333, 500):
+        for kind in range(8):
+            t = [r.choice("etaoinshrdlucmfw") for _ in range(n)]
+            most = int(0.2 * n)
+            at = range(0, 5 * most, 5) if kind == 0 else r.sample(range(n), most)  # every fifth letter leaves runs of four
+            u = list(t)
+            for k in sorted(at, reverse=True):
+                how = 0 if kind < 4 else r.randrange(3)  # replaced, left out or put in
+                u[k : k + 1] = [["z"], [], [u[k], "z"]][how]
+            rows += [(len(rows), "".join(t), ("train", "test")[kind % 2]), (len(rows) + 1, "".join(u), ("test", "train")[kind % 2])]
+            if levenshtein(t, u) <= 0.2 * max(len(t), len(u)):
+                want.add((len(rows) - 2 + kind % 2, len(rows) - 1 - kind % 2))
+    got = {(x["train_id"], x["eval_id"]) for x in O.cross_split_overlaps(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s").collect()}
+    assert got >= want and len(want) > 60
+
+
+def test_counted_runs_never_lose_a_pair_of_any_length():
+    r = random.Random(24)
+    for n in range(8, 70):
+        t = "".join(r.choice("abcd") for _ in range(n))
+        us = []
+        for _ in range(20):
+            u = list(t)
+            for _ in range(r.randint(1, max(1, n // 4))):
+                k = r.randrange(len(u))
+                u[k : k + 1] = r.choice([[], ["x"], [u[k], "x"]])
+            us.append("".join(u))
+        us = [u for u in us if len(u) >= O.LEAST]
+        found = {k for _, js in O.BlockIndex(us).candidates([t]) for k in js.tolist()}
+        near = {k for k, u in enumerate(us) if max(len(t), len(u)) >= O.TINY_BELOW and levenshtein(t, u) <= 0.2 * max(len(t), len(u))}
+        assert found >= near
+
+
 def test_hot_phrases_hide_no_pair(spark):
     r = random.Random(22)
     opening = "still laughing at how my captain "
