@@ -1,4 +1,5 @@
 import random
+from pathlib import Path
 
 import pytest
 
@@ -166,6 +167,24 @@ def test_hot_phrases_hide_no_pair(spark):
     assert got >= {(2 * i, 2 * i + 1) for i in range(1500)}
 
 
+def test_overlaps_take_disk_in_proportion_to_the_texts(spark, tmp_path):
+    r = random.Random(25)
+    rows = [(i, " ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(2, 9))) for _ in range(22)), ("train", "train", "test")[i % 3]) for i in range(6000)]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    jvm = spark.sparkContext._jvm
+    folders = [d.getPath() for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    used = lambda: sum(f.stat().st_size for d in (*folders, tmp_path) for f in Path(d).rglob("*") if f.is_file())
+    before, at = used(), spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        found = O.cross_split_overlaps(df, "id", "t", "s")  # held, so that its shuffle files are
+        found.collect()
+        assert used() - before < 6 * sum(len(t) for _, t, _ in rows)
+    finally:
+        if at.isDefined():
+            spark.sparkContext.setCheckpointDir(at.get())
+
+
 def test_records_name_their_class_links_and_coverage(spark):
     rows = [(1, "the very same message", "train"), (2, "The very same message!", "train"), (3, "the very same message", "test"), (4, "the very same massage", "test"), (5, "nothing like it at all", "test"), (6, None, "test")]
     got = {x["id"]: (x["class"], x["n_links"], x["coverage"]) for x in O.overlap_records(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s").collect()}
