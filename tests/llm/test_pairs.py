@@ -185,6 +185,27 @@ def test_overlaps_take_disk_in_proportion_to_the_texts(spark, tmp_path):
             spark.sparkContext.setCheckpointDir(at.get())
 
 
+def test_copies_take_few_bytes_of_disk_a_row(spark, tmp_path):
+    r = random.Random(26)
+    texts = [" ".join("".join(r.choice("etaoinshrdlu") for _ in range(r.randint(4, 9))) for _ in range(8)) for _ in range(4000)]
+    rows = [(i, texts[i % 4000], ("train", "train", "test")[i % 3]) for i in range(80_000)]
+    df = spark.createDataFrame(rows, "id long, t string, s string")
+    jvm = spark.sparkContext._jvm
+    folders = [d.getPath() for d in jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()]
+    used = lambda: sum(f.stat().st_size for d in (*folders, tmp_path) for f in Path(d).rglob("*") if f.is_file())
+    before, at = used(), spark.sparkContext._jsc.sc().getCheckpointDir()
+    spark.sparkContext.setCheckpointDir(str(tmp_path))
+    try:
+        found = O.cross_split_overlaps(df, "id", "t", "s")  # held, so that its shuffle files are
+        n = found.count()
+        taken = used() - before
+        assert n >= sum(a * (20 - a) for a in (sum((i + 4000 * k) % 3 < 2 for k in range(20)) for i in range(4000)))
+        assert taken < 40 * len(rows), taken / len(rows)
+    finally:
+        if at.isDefined():
+            spark.sparkContext.setCheckpointDir(at.get())
+
+
 def test_records_name_their_class_links_and_coverage(spark):
     rows = [(1, "the very same message", "train"), (2, "The very same message!", "train"), (3, "the very same message", "test"), (4, "the very same massage", "test"), (5, "nothing like it at all", "test"), (6, None, "test")]
     got = {x["id"]: (x["class"], x["n_links"], x["coverage"]) for x in O.overlap_records(spark.createDataFrame(rows, "id long, t string, s string"), "id", "t", "s").collect()}
